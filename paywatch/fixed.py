@@ -183,6 +183,7 @@ DISPUTE_SUMMARY = "URGENT DISPUTE / CHARGEBACK (%s) on payment %s (₹%s). Immed
 LABEL_VELOCITY = 3.0
 LABEL_AMOUNT_MULTIPLE = 5.0
 LABEL_SMALL_AMOUNT = (1.0, 50.0)
+LABEL_METHOD_ROWS = 5
 
 # Stored rows.
 TRANSACTION_SOURCES = ["gateway", "synthetic", "test"]

@@ -79,14 +79,14 @@ def known_values(payments, column, cutoff=None):
     )
 
 
-def flag_new(payments, column, flag, cutoff=None, history=None):
+def flag_new(payments, column, flag, cutoff=None, history=None, known=None):
     """Left join on the known pairs: ``flag`` is true where the row's value is present but not known.
 
     The known side may be large, so it is not hinted: the optimizer broadcasts it below the session's size limit
     and otherwise splits skewed keys at run time.
     """
-    known = known_values(payments if history is None else history, column, cutoff).withColumn("_known", F.lit(True))
-    joined = payments.join(known, ["merchant_id", column], "left")
+    known = known_values(payments if history is None else history, column, cutoff) if known is None else known
+    joined = payments.join(known.withColumn("_known", F.lit(True)), ["merchant_id", column], "left")
     return joined.selectExpr(*payments.columns, f"{column} is not null and _known is null as {flag}")
 
 

@@ -127,6 +127,7 @@ def method_columns(df, methods=tuple(fixed.PAYMENT_METHODS)):
             "if(size(_shares) > 1, -aggregate(_shares, 0D, (s, p) -> s + p * ln(p)), 0) as payment_method_entropy",
             "failed_10m / double(rows_10m) as payment_failure_rate",
             "if(size(_shares) > 0, array_max(_shares) - 1D / greatest(size(_shares), 1), 0) as payment_method_spike",
+            "coalesce(array_max(_shares), 0) as method_max_share",
         )
         .drop("_counts", "_shares")
     )
@@ -261,14 +262,15 @@ def extract(payments, base=None, cutoff=None, baseline_divisor=1.0):
     )
 
 
-def score_inputs(payments, base=None, cutoff=None):
+def score_inputs(payments, base=None, cutoff=None, known=None):
     """Only the features the statistical scores read: no customer pass, no method pass, no median."""
-    cutoff = baselines.known_cutoff(payments) if cutoff is None else cutoff
+    if cutoff is None and (base is None or known is None):
+        cutoff = baselines.known_cutoff(payments)
     rows = with_baselines(payments, base, cutoff)
-    rows = baselines.flag_new(rows, "device_id", "is_new_device", cutoff, payments)
+    rows = baselines.flag_new(rows, "device_id", "is_new_device", cutoff, payments, known)
     present = with_presence(rows, {"device": SUBJECTS["device"]})
     measures = amount_measures() + rate_measures() + device_measures()[:2] + method_measures(())
-    out = sliding_sums(present.drop("currency"), ["merchant_id"], "ts_us", measures)
+    out = sliding_sums(present, ["merchant_id"], "ts_us", measures)
     out = rate_columns(amount_columns(out)).selectExpr(
         "*",
         "double(count_1m) as txn_count_1m",

@@ -48,19 +48,14 @@ def apply_decisions(gated, decisions, key="alert_id"):
     )
 
 
-def role_permissions(spark):
-    rows = [(role, p) for role, granted in fixed.ROLE_PERMISSIONS.items() for p in granted]
-    return spark.createDataFrame(rows, "role string, granted string")
+def role_grants(spark):
+    return spark.createDataFrame(list(fixed.ROLE_PERMISSIONS.items()), "role string, granted array<string>")
 
 
 def permitted(requests):
     """Requests (role, permission) the role may make: granted by name or by the wildcard. The role table is fixed."""
-    grants = F.broadcast(role_permissions(requests.sparkSession))
-    return requests.join(
-        grants,
-        (requests.role == grants.role) & ((grants.granted == "*") | (grants.granted == requests.permission)),
-        "left_semi",
-    )
+    joined = requests.join(F.broadcast(role_grants(requests.sparkSession)), "role")
+    return joined.where("array_contains(granted, '*') or array_contains(granted, permission)").drop("granted")
 
 
 def may_approve(decisions):
