@@ -1,4 +1,4 @@
 """Registered queries and the independent SQL they are compared with."""
 
-from checks import feature_queries  # noqa: F401
+from checks import alert_queries, feature_queries, scoring_queries  # noqa: F401
 from checks.registry import ORACLES, QUERIES  # noqa: F401

@@ -30,33 +30,35 @@ def zscore_model(features, fitted, names=tuple(fixed.ZSCORE_FEATURES)):
     ).selectExpr("*", f"int(score > {fixed.ZSCORE_CUT}D) as prediction")
 
 
-def confusion(predictions, by="model"):
-    """Counts, precision, recall, F1, false-positive rate and cost per model."""
-    cost = fixed.COST_PER_FALSE_POSITIVE
-    counts = predictions.groupBy(by).agg(
-        F.expr("count_if(label = 0 and prediction = 0) as tn"),
-        F.expr("count_if(label = 0 and prediction = 1) as fp"),
-        F.expr("count_if(label = 1 and prediction = 0) as fn"),
-        F.expr("count_if(label = 1 and prediction = 1) as tp"),
+def outcome_counts(predictions, by="model", digits=4):
+    """Rows per model, score (to ``digits`` places), label and prediction: all the metrics below need.
+
+    At most 4 * (10^digits + 1) rows per model, so the curve's cumulative pass stays small.
+    """
+    return predictions.groupBy(by, F.expr(f"round(score, {digits}) as score"), "label", "prediction").agg(
+        F.expr("count(1) as n")
     )
-    return counts.selectExpr(
+
+
+def confusion(counts, by="model"):
+    """Counts, precision, recall, F1, false-positive rate and cost per model, from ``outcome_counts``."""
+    cells = {"tn": (0, 0), "fp": (0, 1), "fn": (1, 0), "tp": (1, 1)}
+    totals = counts.groupBy(by).agg(*[
+        F.expr(f"sum(if(label = {y} and prediction = {p}, n, 0)) as {name}") for name, (y, p) in cells.items()
+    ])
+    return totals.selectExpr(
         by, "tn", "fp", "fn", "tp",
         "round(coalesce(tp / nullif(double(tp + fp), 0), 0), 4) as precision",
         "round(coalesce(tp / nullif(double(tp + fn), 0), 0), 4) as recall",
         "round(coalesce(2 * tp / nullif(double(2 * tp + fp + fn), 0), 0), 4) as f1",
         "round(fp / double(greatest(fp + tn, 1)), 4) as false_positive_rate",
-        f"fp * {cost}D as false_positive_cost",
+        f"fp * {fixed.COST_PER_FALSE_POSITIVE}D as false_positive_cost",
     )
 
 
-def pr_auc(predictions, by="model", digits=4):
-    """Area under the precision-recall curve by trapezoids over the distinct scores, ending at recall 0, precision 1.
-
-    Scores are kept to ``digits`` places, so the cumulative pass sees at most 10^digits + 1 rows per model.
-    """
-    steps = predictions.groupBy(by, F.expr(f"round(score, {digits}) as score")).agg(
-        F.expr("count(1) as n"), F.expr("count_if(label = 1) as hits")
-    )
+def pr_auc(counts, by="model"):
+    """Area under the precision-recall curve by trapezoids over the distinct scores, ending at recall 0, precision 1."""
+    steps = counts.groupBy(by, "score").agg(F.expr("sum(n) as n"), F.expr("sum(if(label = 1, n, 0)) as hits"))
     down = f"over (partition by {by} order by score desc)"
     curve = steps.selectExpr(
         by, "score", f"sum(hits) {down} as tp", f"sum(n) {down} as flagged", f"sum(hits) over (partition by {by}) as positives"
@@ -68,7 +70,11 @@ def pr_auc(predictions, by="model", digits=4):
 
 
 def compare(predictions):
-    """All metrics per model and which model has the best F1 (first by name on a tie)."""
-    metrics = confusion(predictions).join(pr_auc(predictions), "model")
-    best = metrics.agg(F.expr("min_by(model, struct(-f1, model)) as best_model"))
-    return metrics.crossJoin(F.broadcast(best)).selectExpr("*", "model = best_model as is_best").drop("best_model")
+    """All metrics per model and which model has the best F1 (first by name on a tie).
+
+    Every branch starts from the same counts, whose shuffle Spark reuses, so the predictions are computed once.
+    """
+    counts = outcome_counts(predictions)
+    metrics = confusion(counts).join(pr_auc(counts), "model")
+    place = "row_number() over (order by f1 desc, model)"
+    return metrics.selectExpr("*", f"{place} = 1 as is_best")

@@ -7,6 +7,7 @@ frames are closed at both ends, and rows with equal times see each other.
 from bisect import bisect_left, insort
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -166,12 +167,13 @@ def with_median(df, window_us=fixed.HOUR_US):
     schema = T.StructType([*df.schema.fields, T.StructField("median_amount", T.DoubleType())])
     tiled = with_context(df, "ts_us", MEDIAN_TILE, window_us)
 
-    def medians(rows):
-        rows = rows.sort_values("ts_us", kind="stable")
-        rows["median_amount"] = sliding_median(rows["ts_us"].to_numpy(), rows["amount"].to_numpy(), window_us)
-        return rows[rows["own"]].drop(columns=["tile", "own"])
+    def medians(table):
+        table = table.sort_by("ts_us")
+        times, amounts = table["ts_us"].to_numpy(), table["amount"].to_numpy()
+        table = table.append_column("median_amount", pa.array(sliding_median(times, amounts, window_us)))
+        return table.filter(table["own"]).drop_columns(["tile", "own"])
 
-    return tiled.groupBy("merchant_id", "tile").applyInPandas(medians, schema)
+    return tiled.groupBy("merchant_id", "tile").applyInArrow(medians, schema)
 
 
 def sliding_median(times, values, window):
