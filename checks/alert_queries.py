@@ -4,13 +4,14 @@ from pyspark.sql import functions as F
 
 from paywatch import fixed
 from paywatch.operators import alerts as alert_ops
-from paywatch.operators import evidence, filters, ledger, policy, profiles
+from paywatch.operators import evidence, filters, ledger, policy
 from paywatch.plans import investigation
+from paywatch.session import materialize
 from paywatch.sources.tables import read_table
 
 from checks.base_sql import DENSE, MERCHANTS, alerts_sql, scored_sql, sql
 from checks.feature_queries import ACTIVITY, AMOUNT_DIST, DEVICES, LAST, METHOD_SHARES, PLACE_SHARES
-from checks.registry import TEST_LEVELS, alerts, check, dense, event, merchants, r6, rounded, scored
+from checks.registry import TEST_LEVELS, alerts, check, dense, event, merchants, rounded, scored, stored_scores
 from checks.scoring_queries import MEANS
 
 KEY = "paywatch-ledger-key-für-tests"
@@ -23,7 +24,7 @@ def alert_candidates(spark, d):
 
 @check("alert_dedup", alerts_sql("select merchant_id, created_us, transaction_id from alerts"))
 def alert_dedup(spark, d):
-    rows = alert_ops.materialize(alert_ops.candidates(scored(spark, d), TEST_LEVELS), "candidates")
+    rows = materialize(alert_ops.candidates(scored(spark, d), TEST_LEVELS), "candidates")
     return alert_ops.dedup(rows).selectExpr("merchant_id", "ts_us as created_us", "transaction_id")
 
 
@@ -69,7 +70,7 @@ STATUS = (
 def stored_alerts(spark, d):
     """Alerts with their present status, written once like the stored table they stand for."""
     found = alerts(spark, d)
-    return alert_ops.with_status(alert_ops.materialize(found, "alerts"), updates(found))
+    return alert_ops.with_status(materialize(found, "alerts"), updates(found))
 
 
 @check("alert_status", alerts_sql("select alert_id, status, resolved_us from current_alerts", STATUS))
@@ -95,7 +96,7 @@ NEWEST_ID = "(select alert_id from alerts order by created_us desc, alert_id lim
 
 @check("flt_alert_by_id", alerts_sql(f"select alert_id, merchant_id, risk_score from alerts where alert_id = {NEWEST_ID}"))
 def flt_alert_by_id(spark, d):
-    found = alert_ops.materialize(alerts(spark, d), "alerts")
+    found = materialize(alerts(spark, d), "alerts")
     wanted = alert_ops.recent(found, limit=1).first()["alert_id"]
     return alert_ops.by_id(found, wanted).select("alert_id", "merchant_id", "risk_score")
 
@@ -122,8 +123,8 @@ def flt_live_feed(spark, d):
     "select 1 from current_alerts a where a.merchant_id = s.merchant_id and a.status in ('open', 'investigating') "
     "and a.created_us <= s.t and a.created_us >= s.t - 300000000)", STATUS))
 def jn_alert_recent(spark, d):
-    rows = alert_ops.materialize(alert_ops.candidates(scored(spark, d), TEST_LEVELS), "candidates")
-    found = alert_ops.materialize(alert_ops.build(alert_ops.dedup(rows)), "alerts")
+    rows = materialize(alert_ops.candidates(scored(spark, d), TEST_LEVELS), "candidates")
+    found = materialize(alert_ops.build(alert_ops.dedup(rows)), "alerts")
     return alert_ops.suppress_recent(rows, alert_ops.with_status(found, updates(found)))
 
 
@@ -237,8 +238,8 @@ def evidence_sql(body, *ctes):
 
 def parts(spark, d):
     payments, side = dense(spark, d), merchants(spark, d)
-    assessed = scored(spark, d)
-    found = alert_ops.materialize(alerts(spark, d), "alerts")
+    assessed = stored_scores(spark, d)
+    found = materialize(alerts(spark, d, assessed), "alerts")
     return found, investigation.inputs(payments, side, found, evidence.term_means(assessed))
 
 
@@ -304,11 +305,10 @@ RECOMMENDED = "alert_id merchant_id risk_score confidence errors recommendation_
 
 
 def outcomes(spark, d):
-    found = alert_ops.materialize(alerts(spark, d), "alerts")
-    rows = investigation.investigate(
-        dense(spark, d), merchants(spark, d), found.drop("summary"), evidence.term_means(scored(spark, d))
-    )
-    return alert_ops.materialize(rows, "outcomes")
+    assessed = stored_scores(spark, d)
+    found = materialize(alerts(spark, d, assessed).drop("summary"), "alerts")
+    rows = investigation.investigate(dense(spark, d), merchants(spark, d), found, evidence.term_means(assessed))
+    return materialize(rows, "outcomes")
 
 
 @check("recommend", evidence_sql(f"select {', '.join(RECOMMENDED.split())} from recommended"))
@@ -482,7 +482,7 @@ def audit_build(spark, d):
     "select audit_id, investigation_id, ts_us from audits where alert_id = " + NEWEST_ID + " order by ts_us, audit_id limit 100",
     AUDITS))
 def flt_audit_trail(spark, d):
-    rows = alert_ops.materialize(audits(spark, d), "audits")
+    rows = materialize(audits(spark, d), "audits")
     wanted = rows.orderBy(F.desc("ts_us"), "alert_id").first()["alert_id"]
     return ledger.trail(rows, alert_id=wanted).select("audit_id", "investigation_id", "ts_us")
 
@@ -507,7 +507,7 @@ def hmac_sql(text):
     return f"sha256({OUTER} || unhex(sha256({INNER} || encode({text}))))"
 
 
-# The ledger holds one entry per payment of an alerting hour, so chains are longer than the alert table alone would make them.
+# The checked ledger has one entry per payment, chained per merchant and day.
 LEDGER = f"""
 entries as (
   select merchant_id || '/' || cast(t // 86400000000 as varchar) as chain_id, t as ts_us, transaction_id as audit_id,
@@ -554,7 +554,7 @@ def ledger_chain(spark, d):
     return ledger_rows(spark, d)
 
 
-# Every 40th sequence number is edited, every 30th of another kind deleted, before checking.
+# Entry 7 of every chain is edited and entry 11 of some chains deleted before checking.
 TAMPERED = (
     "tampered as (select * replace (case when seq = 7 then 'EDITED' else action end as action) from ledger "
     "where not (seq = 11 and chain_id like 'merchant_01%')), "

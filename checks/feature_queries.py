@@ -3,9 +3,8 @@
 from paywatch import fixed
 from paywatch.operators import baselines, evaluation, features, profiles, series
 
-from checks.base_sql import BASE30, CUTOFF, DENSE, EVENT, FEATURE_CTES, KNOWN, MERCHANTS, frame, scored_sql, sql
-from checks.registry import alerts, check, dense, event, merchants, r6, rounded, scored
-from checks.base_sql import alerts_sql
+from checks.base_sql import BASE30, DENSE, EVENT, FEATURE_CTES, KNOWN, MERCHANTS, alerts_sql, frame, scored_sql, sql
+from checks.registry import alerts, check, dense, event, learned, merchants, r6, rounded, scored, stored_scores
 
 
 def feature_sql(names):
@@ -31,7 +30,7 @@ AMOUNT = "current_amount avg_amount median_amount amount_deviation amount_ratio_
 
 @check("feat_amount", feature_sql(AMOUNT))
 def feat_amount(spark, d):
-    return picked(features.amount(dense(spark, d)), AMOUNT)
+    return picked(features.amount(dense(spark, d), learned(spark, d).base), AMOUNT)
 
 
 DEVICE = "unique_devices new_device_count new_device_ratio accounts_per_device"
@@ -39,7 +38,7 @@ DEVICE = "unique_devices new_device_count new_device_ratio accounts_per_device"
 
 @check("feat_device", feature_sql(DEVICE))
 def feat_device(spark, d):
-    return picked(features.device(dense(spark, d)), DEVICE)
+    return picked(features.device(dense(spark, d), learned(spark, d).devices), DEVICE)
 
 
 CUSTOMER = "unique_customers new_customer_ratio"
@@ -47,7 +46,7 @@ CUSTOMER = "unique_customers new_customer_ratio"
 
 @check("feat_customer", feature_sql(CUSTOMER))
 def feat_customer(spark, d):
-    return picked(features.customer(dense(spark, d)), CUSTOMER)
+    return picked(features.customer(dense(spark, d), learned(spark, d).customers), CUSTOMER)
 
 
 METHOD = "payment_method_entropy payment_failure_rate payment_method_spike"
@@ -72,7 +71,7 @@ RATES = "velocity_ratio current_txn_rate current_suspicious_rate"
 
 @check("feat_baseline", feature_sql(RATES))
 def feat_baseline(spark, d):
-    return picked(features.rates(dense(spark, d)), RATES)
+    return picked(features.rates(dense(spark, d), learned(spark, d).base), RATES)
 
 
 @check("feat_all", sql(r6(
@@ -391,7 +390,8 @@ def agg_feature_moments(spark, d):
     "select count(*) filter (status = 'open') as open_alerts, count(*) filter (status = 'investigating') as investigating, "
     "(select count(*) from scored where risk_level in ('high', 'critical')) as flagged from alerts"))
 def agg_status_counts(spark, d):
-    return profiles.status_counts(alerts(spark, d), scored(spark, d))
+    assessed = stored_scores(spark, d)
+    return profiles.status_counts(alerts(spark, d, assessed), assessed)
 
 
 @check("proj_features", sql(r6(

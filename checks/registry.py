@@ -1,9 +1,9 @@
 """Registry of queries and their SQL, and the inputs the queries share."""
 
-from pyspark.sql import functions as F
-
 from paywatch.operators import alerts as alert_ops
+from paywatch.operators import baselines
 from paywatch.plans import scoring
+from paywatch.session import materialize
 from paywatch.sources import tables
 
 QUERIES = {}
@@ -54,15 +54,19 @@ def merchants(spark, d):
     return tables.merchants(spark, d)
 
 
+def learned(spark, d):
+    return baselines.learn(dense(spark, d))
+
+
 def scored(spark, d):
     return scoring.score_payments(dense(spark, d))
 
 
-def alerts(spark, d):
-    """Alerts of level medium and above: enough rows to exercise suppression and the table jobs."""
-    return alert_ops.from_scores(scored(spark, d), TEST_LEVELS)
+def stored_scores(spark, d):
+    """The assessment table, written once as the jobs downstream of it read it."""
+    return materialize(scored(spark, d), "assessments")
 
 
-def number(column="transaction_id"):
-    """The running number inside a transaction id."""
-    return F.expr(f"bigint(substr({column}, 4))")
+def alerts(spark, d, assessed=None):
+    """Alerts of level medium and above: enough rows to exercise suppression and the table jobs."""
+    return alert_ops.from_scores(scored(spark, d) if assessed is None else assessed, TEST_LEVELS)

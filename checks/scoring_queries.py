@@ -4,14 +4,14 @@ from pyspark.sql import functions as F
 
 from paywatch import fixed
 from paywatch.functions import risk
-from paywatch.operators import alerts as alert_ops
 from paywatch.operators import baselines, evaluation, evidence, features, labels, model, series
 from paywatch.operators.sampling import time_split
+from paywatch.session import materialize
 from paywatch.sources.tables import read_table
 
-from checks.base_sql import BASE30, CUTOFF, DENSE, FEATURE_CTES, KNOWN, MEASURED, scored_sql, sql
+from checks.base_sql import DENSE, FEATURE_CTES, scored_sql, sql
 from checks.feature_queries import SERIES, SMOOTH
-from checks.registry import check, dense, r6, rounded, scored
+from checks.registry import check, dense, r6, rounded, scored, stored_scores
 
 SCORES = "anomaly_score spike_ratio z_score"
 
@@ -141,12 +141,12 @@ predictions as (
 def predictions(spark, d):
     """Three closed-form models on the same rows; the z-score model is fitted on the known history."""
     payments = dense(spark, d)
-    cutoff = baselines.known_cutoff(payments)
-    inputs = features.score_inputs(payments, cutoff=cutoff).selectExpr(
+    history = baselines.learn(payments)
+    inputs = features.score_inputs(payments, history).selectExpr(
         "transaction_id", "merchant_id", "ts_us", *fixed.ZSCORE_FEATURES, "int(is_suspicious) as label"
     )
-    rows = alert_ops.materialize(inputs, "model-rows")
-    fitted = rows.join(cutoff, "merchant_id").where("ts_us <= cutoff_us")
+    rows = materialize(inputs, "model-rows")
+    fitted = rows.join(history.cutoff, "merchant_id").where("ts_us <= cutoff_us")
     scored_rows = evaluation.zscore_model(rows, fitted).withColumnRenamed("score", "zscore").drop("prediction")
     scored_rows = risk.threshold_model(scored_rows).withColumnsRenamed({"score": "tscore", "prediction": "tpred"})
     scored_rows = risk.combined_model(scored_rows, "tscore", "zscore").withColumnsRenamed({"score": "cscore", "prediction": "cpred"})
@@ -241,7 +241,7 @@ def explain_linear(spark, d):
     "{'n': 'payment_failure_rate', 'v': round((payment_failure_rate - mp) * 10 / 4 * 3, 4)}, "
     "{'n': 'amount_deviation', 'v': round((amount_deviation - ma) / 3 / 4 * 3, 4)}] as parts from scored, means))", MEANS))
 def top_abs(spark, d):
-    rows = scored(spark, d)
+    rows = stored_scores(spark, d)
     driven = evidence.drivers(rows, evidence.term_means(rows))
     return driven.selectExpr(
         "transaction_id", "array_join(transform(top_risk_drivers, x -> x.name), ',') as up",
@@ -274,7 +274,9 @@ listed as (
     *FEATURE_CTES, LABELS))
 def label_patterns(spark, d):
     payments = dense(spark, d)
-    return labels.patterns(labels.inputs(payments), payments)
+    history = baselines.learn(payments)
+    places = baselines.known_values(payments, "location", history.cutoff)
+    return labels.patterns(labels.inputs(payments, history.base), history.devices, places)
 
 
 SCENARIOS = ["event_id", "60 + event_id % 120 as normal_txn_count", "100 + event_id % 1400 as spike_txn_count",
@@ -306,7 +308,7 @@ def simulate_features(spark, d):
 def split_matrix(spark, d):
     """Cleaned features with their split, written once: boosting reads them in every round."""
     rows = model.matrix(time_split(features.extract(dense(spark, d))))
-    return alert_ops.materialize(rows, "matrix")
+    return materialize(rows, "matrix")
 
 
 def fitted(spark, d):

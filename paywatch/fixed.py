@@ -73,22 +73,22 @@ ALERT_LEVELS = ["high", "critical"]
 ACTIVE_ALERT_STATUSES = ["open", "investigating"]
 ALERT_STATUSES = ["open", "investigating", "resolved", "escalated", "false_positive"]
 DEDUP_WINDOW_US = 5 * MINUTE_US
-ALERT_SUMMARY = "FRAUD SPIKE DETECTED — Merchant %s. Current rate: %.0f/min (baseline: %.0f/min, spike: %.1fx). Risk: %s."
+ALERT_SUMMARY = "FRAUD SPIKE DETECTED — Merchant %s. Current rate: %s/min (baseline: %s/min, spike: %sx). Risk: %s."
 
 # Recent activity: (velocity ratio above, text format).
 ACTIVITY_TEXTS = [
-    (5.0, "⚠️ SEVERE SPIKE: %.1fx above baseline"),
-    (3.0, "⚠️ SPIKE: %.1fx above baseline"),
-    (1.5, "Elevated: %.1fx above baseline"),
+    (5.0, "⚠️ SEVERE SPIKE: %sx above baseline"),
+    (3.0, "⚠️ SPIKE: %sx above baseline"),
+    (1.5, "Elevated: %sx above baseline"),
 ]
-ACTIVITY_TEXT_NORMAL = "%.1fx baseline"
+ACTIVITY_TEXT_NORMAL = "%sx baseline"
 RECENT_ROWS = 100
 PATTERN_ROWS = 200
 TOP_DEVICES = 5
 TOP_LOCATIONS = 10
 
 # Device concentration: (new-device percentage above, text format).
-DEVICE_TEXTS = [(50.0, "HIGH: %.0f%% new devices detected"), (20.0, "Elevated: %.0f%% new devices detected")]
+DEVICE_TEXTS = [(50.0, "HIGH: %s%% new devices detected"), (20.0, "Elevated: %s%% new devices detected")]
 DEVICE_TEXT_NORMAL = "Normal distribution"
 DEVICE_TEXT_NONE = "No device data available"
 DEVICE_UNAVAILABLE = "UNAVAILABLE — no device data should be assumed"
@@ -111,11 +111,11 @@ NO_CONCENTRATION = "No unusual concentrations detected"
 EVIDENCE_TOOLS = 6
 ERROR_CONFIDENCE_FACTOR = 0.85
 FINDING_VELOCITY = (
-    "Transaction velocity is %.1fx above the merchant baseline (%.0f/min vs %.0f/min baseline). "
+    "Transaction velocity is %sx above the merchant baseline (%s/min vs %s/min baseline). "
     "[Source: get_recent_activity → velocity_ratio]"
 )
 FINDING_DEVICE = (
-    "New device activity is elevated: %.0f%% of devices were not previously observed. "
+    "New device activity is elevated: %s%% of devices were not previously observed. "
     "[Source: get_device_activity → new_device_percentage]"
 )
 FINDING_DEVICE_MISSING = (
@@ -176,7 +176,7 @@ REFUND_RISK = ("medium", 0.45)
 DISPUTE_RISK = ("critical", 0.985, 0.960)
 DEFAULT_DISPUTE_REASON = "fraudulent"
 DECLINE_SUMMARY = "Elevated payment decline detected on %s (₹%s)."
-HIGH_VALUE_SUMMARY = "High-value payment transaction (₹%s) scored %.2f risk."
+HIGH_VALUE_SUMMARY = "High-value payment transaction (₹%s) scored %s risk."
 DISPUTE_SUMMARY = "URGENT DISPUTE / CHARGEBACK (%s) on payment %s (₹%s). Immediate review required."
 
 # Label rules.

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from paywatch import fixed
 from paywatch.functions import risk
 from paywatch.functions.hashing import stable_id
+from paywatch.functions.text import places
 
 ENTITY = (
     "struct<id:string,amount:double,currency:string,status:string,method:string,email:string,contact:string,"
@@ -90,7 +91,7 @@ def payment_alerts(rows):
         f"{stable_id('alert_', 'merchant_id', 'transaction_id')} as alert_id", "transaction_id", "merchant_id",
         "risk_score", "round(least(0.99D, risk_score * 1.05D), 3) as anomaly_score", "risk_level",
         f"if(is_failed, format_string('{fixed.DECLINE_SUMMARY}', payment_method, {money}),"
-        f" format_string('{fixed.HIGH_VALUE_SUMMARY}', {money}, risk_score)) as summary",
+        f" format_string('{fixed.HIGH_VALUE_SUMMARY}', {money}, {places('risk_score', 2)})) as summary",
         "'open' as status",
     )
 

@@ -6,20 +6,13 @@ from pyspark.sql import functions as F
 
 from paywatch import fixed
 from paywatch.functions.hashing import stable_id
+from paywatch.functions.text import places
 from paywatch.operators.tiles import tile_of, with_context
-from paywatch.session import new_path
+from paywatch.session import materialize
 
 BLOCK_US = fixed.HOUR_US
 
 
-def materialize(df, name):
-    """Writes a small result that several branches read, so that it is computed once and survives lost executors."""
-    spark = df.sparkSession
-    path = new_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def candidates(assessed, levels=tuple(fixed.ALERT_LEVELS)):
     return assessed.where(F.col("risk_level").isin(*levels))
 
@@ -112,7 +105,8 @@ def build(kept, model_version=fixed.MODEL_VERSION):
         "merchant_id", "transaction_id", "'fraud_spike' as alert_type",
         "overall_risk as risk_score", "anomaly_score", "spike_ratio",
         "current_txn_rate", f"{baseline} as baseline_txn_rate", "risk_level",
-        f"format_string('{fixed.ALERT_SUMMARY}', merchant_id, current_txn_rate, {baseline}, spike_ratio, upper(risk_level))"
+        f"format_string('{fixed.ALERT_SUMMARY}', merchant_id, {places('current_txn_rate', 0)}, {places(baseline, 0)},"
+        f" {places('spike_ratio', 1)}, upper(risk_level))"
         " as summary",
         f"map_from_arrays(array({names}), array({', '.join(snapshot)})) as features_snapshot",
         f"'{model_version}' as model_version", "'open' as status", "ts_us as created_us", "ml_score",

@@ -1,9 +1,13 @@
 """Merchant baselines, known devices and customers, and the joins that use them."""
 
+from dataclasses import dataclass
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from paywatch import fixed
 from paywatch.operators.tiles import time_quantile
+from paywatch.session import materialize
 
 
 def latest_time(payments):
@@ -46,6 +50,27 @@ def active_merchants(merchants):
     return merchants.where("is_active")
 
 
+@dataclass(frozen=True)
+class History:
+    """What a merchant's early payments teach: cut-off, rate and mean amount, known devices and customers."""
+
+    cutoff: DataFrame
+    base: DataFrame
+    devices: DataFrame
+    customers: DataFrame
+
+
+def learn(payments, share=fixed.KNOWN_SHARE):
+    """Learns the history tables and stores them: the features read them several times and later runs may reuse them."""
+    cutoff = materialize(known_cutoff(payments, share), "cutoff")
+    return History(
+        cutoff,
+        materialize(baseline_first_share(payments, cutoff), "base"),
+        materialize(known_values(payments, "device_id", cutoff), "devices"),
+        materialize(known_values(payments, "customer_id", cutoff), "customers"),
+    )
+
+
 def known_cutoff(payments, share=fixed.KNOWN_SHARE):
     """Per merchant the time up to which history counts as known."""
     return time_quantile(payments, ["merchant_id"], "ts_us", share)
@@ -79,13 +104,12 @@ def known_values(payments, column, cutoff=None):
     )
 
 
-def flag_new(payments, column, flag, cutoff=None, history=None, known=None):
+def flag_new(payments, known, column, flag):
     """Left join on the known pairs: ``flag`` is true where the row's value is present but not known.
 
     The known side may be large, so it is not hinted: the optimizer broadcasts it below the session's size limit
     and otherwise splits skewed keys at run time.
     """
-    known = known_values(payments if history is None else history, column, cutoff) if known is None else known
     joined = payments.join(known.withColumn("_known", F.lit(True)), ["merchant_id", column], "left")
     return joined.selectExpr(*payments.columns, f"{column} is not null and _known is null as {flag}")
 

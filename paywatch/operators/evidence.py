@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from paywatch import fixed
 from paywatch.functions import risk
+from paywatch.functions.text import places, plain
 from paywatch.operators import profiles
 
 EVIDENCE = ["alert_id", "source_tool", "field", "value", "confidence"]
@@ -25,7 +26,7 @@ def baseline_evidence(alerts, merchants):
     joined = alerts.select("alert_id", "merchant_id").join(base, "merchant_id", "left")
     tool, defaults = "get_merchant_baseline", fixed.MERCHANT_DEFAULTS
     return rows(joined, [
-        (tool, f"'{c}'", f"string(coalesce({c}, {defaults[c]}D))", 1.0)
+        (tool, f"'{c}'", plain(f"coalesce({c}, {defaults[c]}D)"), 1.0)
         for c in ("baseline_txn_rate", "baseline_avg_amount")
     ])
 
@@ -33,7 +34,7 @@ def baseline_evidence(alerts, merchants):
 def activity_evidence(alerts, activity):
     joined = alerts.select("alert_id", "merchant_id").join(activity, "merchant_id")
     return rows(joined, [
-        ("get_recent_activity", f"'{c}'", f"string({c})", 1.0)
+        ("get_recent_activity", f"'{c}'", plain(c), 1.0)
         for c in ("velocity_ratio", "current_txn_rate", "failure_rate")
     ])
 
@@ -48,7 +49,7 @@ def device_evidence(alerts, devices, availability):
     )
     tool = "get_device_activity"
     present = rows(joined.where("up"), [
-        (tool, "'new_device_percentage'", "string(new_device_percentage)", 1.0),
+        (tool, "'new_device_percentage'", plain("new_device_percentage"), 1.0),
         (tool, "'device_concentration'", "device_concentration", 1.0),
     ])
     return present.unionByName(
@@ -60,14 +61,14 @@ def concentrations(payments):
     """Unusual method, location and amount patterns among each merchant's newest rows, one text per row."""
     methods = profiles.shares(payments, "payment_method").where(f"pct > {fixed.METHOD_SHARE_CUT}D").selectExpr(
         "merchant_id", "0 as kind", "place",
-        f"format_string(\"{fixed.METHOD_CONCENTRATION}\", payment_method, string(pct)) as concentration",
+        f"format_string(\"{fixed.METHOD_CONCENTRATION}\", payment_method, {plain('pct')}) as concentration",
     )
     risky = ", ".join(f"'{x}'" for x in fixed.RISKY_LOCATIONS)
     places = profiles.shares(payments, "location", top=fixed.TOP_LOCATIONS).where(
         f"pct > {fixed.LOCATION_SHARE_CUT}D and location in ({risky})"
     ).selectExpr(
         "merchant_id", "1 as kind", "place",
-        f"format_string('{fixed.LOCATION_CONCENTRATION}', location, string(pct)) as concentration",
+        f"format_string('{fixed.LOCATION_CONCENTRATION}', location, {plain('pct')}) as concentration",
     )
     spread = profiles.amount_distribution(payments)
     outliers = spread.where(f"max_amount > mean_amount * {fixed.OUTLIER_MULTIPLE}D").selectExpr(
@@ -110,7 +111,7 @@ def alert_drivers(alerts, means):
 def model_evidence(driven):
     return driven.selectExpr("alert_id", "explode(top_risk_drivers) as d").selectExpr(
         "alert_id", "'get_model_explanation' as source_tool", "concat('shap_', d.name) as field",
-        "string(d.value) as value", "1D as confidence",
+        f"{plain('d.value')} as value", "1D as confidence",
     )
 
 
@@ -159,7 +160,7 @@ def summary(alerts, merchants, activity, devices, availability, found, driven):
             f"x -> format_string('{fixed.FINDING_PATTERN}', x.concentration)) as pattern_findings"
         )
     )
-    top = "transform(slice(top_risk_drivers, 1, 3), d -> format_string('%s (+%.2f)', d.name, d.value))"
+    top = f"transform(slice(top_risk_drivers, 1, 3), d -> concat(d.name, ' (+', {places('d.value', 2)}, ')'))"
     rate = fixed.MERCHANT_DEFAULTS["baseline_txn_rate"]
     return (
         alerts.select("alert_id", "merchant_id")
@@ -171,11 +172,12 @@ def summary(alerts, merchants, activity, devices, availability, found, driven):
         .join(driven.select("alert_id", "top_risk_drivers"), "alert_id", "left")
         .selectExpr(
             "alert_id",
-            f"case when velocity_ratio > 3 then format_string('{fixed.FINDING_VELOCITY}', velocity_ratio,"
-            f" current_txn_rate, coalesce(baseline_txn_rate, {rate}D)) end as velocity_finding",
+            f"case when velocity_ratio > 3 then format_string('{fixed.FINDING_VELOCITY}',"
+            f" {places('velocity_ratio', 1)}, {places('current_txn_rate', 0)},"
+            f" {places(f'coalesce(baseline_txn_rate, {rate}D)', 0)}) end as velocity_finding",
             f"case when not coalesce(available, true) then '{fixed.FINDING_DEVICE_MISSING}'"
             f" when new_device_percentage > 20 then format_string('{fixed.FINDING_DEVICE}',"
-            " bround(new_device_percentage, 0)) end as device_finding",
+            f" {places('new_device_percentage', 0)}) end as device_finding",
             "coalesce(pattern_findings, array()) as pattern_findings",
             f"case when size(top_risk_drivers) > 0 then format_string('{fixed.FINDING_DRIVERS}', array_join({top}, ', ')) end"
             " as driver_finding",

@@ -195,8 +195,7 @@ def sliding_median(times, values, window):
     return out
 
 
-def with_baselines(payments, base=None, cutoff=None):
-    base = baselines.baseline_first_share(payments, cutoff) if base is None else base
+def with_baselines(payments, base):
     return payments.join(base.select("merchant_id", "base_rate_per_min", "base_avg_amount"), "merchant_id", "left")
 
 
@@ -204,21 +203,21 @@ def velocity(payments):
     return sliding_sums(payments, ["merchant_id"], "ts_us", velocity_measures())
 
 
-def amount(payments, base=None):
+def amount(payments, base):
     sums = sliding_sums(with_baselines(payments, base), ["merchant_id"], "ts_us", amount_measures())
     return with_median(amount_columns(sums))
 
 
-def device(payments, cutoff=None):
-    flagged = baselines.flag_new(payments, "device_id", "is_new_device", cutoff)
+def device(payments, known_devices):
+    flagged = baselines.flag_new(payments, known_devices, "device_id", "is_new_device")
     subjects = {s: SUBJECTS[s] for s in ("device", "pair")}
     return device_columns(
         sliding_sums(with_presence(flagged, subjects), ["merchant_id"], "ts_us", device_measures())
     )
 
 
-def customer(payments, cutoff=None):
-    flagged = baselines.flag_new(payments, "customer_id", "is_new_customer", cutoff)
+def customer(payments, known_customers):
+    flagged = baselines.flag_new(payments, known_customers, "customer_id", "is_new_customer")
     subjects = {"customer": SUBJECTS["customer"]}
     return customer_columns(
         sliding_sums(with_presence(flagged, subjects), ["merchant_id"], "ts_us", customer_measures())
@@ -233,21 +232,21 @@ def time(payments):
     return time_columns(payments.join(baselines.merchant_hours(payments), "merchant_id", "left"))
 
 
-def rates(payments, base=None, baseline_divisor=1.0):
+def rates(payments, base, baseline_divisor=1.0):
     sums = sliding_sums(with_baselines(payments, base), ["merchant_id"], "ts_us", rate_measures())
     return rate_columns(sums, baseline_divisor)
 
 
-def extract(payments, base=None, cutoff=None, baseline_divisor=1.0):
+def extract(payments, history=None, baseline_divisor=1.0):
     """All features. Counts use every payment; sample the result, never the input.
 
-    Row data is shuffled for the new-device and new-customer joins, once for presence, once for the sliding sums
-    and once for the median.
+    Row data is shuffled for the new-device and new-customer joins (unless their known side is small), once for
+    presence, once for the sliding sums and once for the median.
     """
-    cutoff = baselines.known_cutoff(payments) if cutoff is None else cutoff
-    rows = with_baselines(payments, base, cutoff).join(baselines.merchant_hours(payments), "merchant_id", "left")
-    rows = baselines.flag_new(rows, "device_id", "is_new_device", cutoff, payments)
-    rows = baselines.flag_new(rows, "customer_id", "is_new_customer", cutoff, payments)
+    history = baselines.learn(payments) if history is None else history
+    rows = with_baselines(payments, history.base).join(baselines.merchant_hours(payments), "merchant_id", "left")
+    rows = baselines.flag_new(rows, history.devices, "device_id", "is_new_device")
+    rows = baselines.flag_new(rows, history.customers, "customer_id", "is_new_customer")
     present = with_presence(rows, SUBJECTS).drop("currency", "location", "ip_address", "device_id", "customer_id")
     measures = (
         velocity_measures() + amount_measures() + method_measures() + rate_measures()
@@ -264,12 +263,11 @@ def extract(payments, base=None, cutoff=None, baseline_divisor=1.0):
     )
 
 
-def score_inputs(payments, base=None, cutoff=None, known=None):
-    """Only the features the statistical scores read: no customer pass, no method pass, no median."""
-    if cutoff is None and (base is None or known is None):
-        cutoff = baselines.known_cutoff(payments)
-    rows = with_baselines(payments, base, cutoff)
-    rows = baselines.flag_new(rows, "device_id", "is_new_device", cutoff, payments, known)
+def score_inputs(payments, history=None):
+    """Only the features the statistical scores read: no customer pass, no method shares, no median."""
+    history = baselines.learn(payments) if history is None else history
+    rows = with_baselines(payments, history.base)
+    rows = baselines.flag_new(rows, history.devices, "device_id", "is_new_device")
     present = with_presence(rows, {"device": SUBJECTS["device"]})
     measures = amount_measures() + rate_measures() + device_measures()[:2] + method_measures(())
     out = sliding_sums(present, ["merchant_id"], "ts_us", measures)

@@ -6,18 +6,17 @@ from paywatch.operators import baselines, features
 from paywatch.operators.tiles import sliding_sums
 
 
-def inputs(payments, base=None):
+def inputs(payments, base):
     """Rates and method shares of the last ten minutes next to the payment columns."""
     measures = features.rate_measures() + features.method_measures()
     sums = sliding_sums(features.with_baselines(payments, base), ["merchant_id"], "ts_us", measures)
     return features.method_columns(features.rate_columns(sums))
 
 
-def patterns(rows, payments, cutoff=None):
+def patterns(rows, known_devices, known_locations):
     """Tags each payment (from ``inputs``) with the documented patterns it shows; two or more make it combined."""
-    cutoff = baselines.known_cutoff(payments) if cutoff is None else cutoff
-    rows = baselines.flag_new(rows, "device_id", "device_flood", cutoff, payments)
-    rows = baselines.flag_new(rows, "location", "geographic_anomaly", cutoff, payments)
+    rows = baselines.flag_new(rows, known_devices, "device_id", "device_flood")
+    rows = baselines.flag_new(rows, known_locations, "location", "geographic_anomaly")
     low, high = fixed.LABEL_SMALL_AMOUNT
     average = f"coalesce(base_avg_amount, {fixed.MERCHANT_DEFAULTS['baseline_avg_amount']}D)"
     tagged = rows.selectExpr(

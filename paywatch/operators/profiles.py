@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from paywatch import fixed
+from paywatch.functions.text import places
 from paywatch.operators.baselines import since
 from paywatch.operators.tiles import quantile_neighbours, tile_of, tiled_rank
 
@@ -100,7 +101,7 @@ def device_summary(payments):
     )
     every = payments.select("merchant_id").distinct()
     whens = " ".join(
-        f"when new_pct > {cut}D then format_string('{text}', bround(new_pct, 0))" for cut, text in fixed.DEVICE_TEXTS
+        f"when new_pct > {cut}D then format_string('{text}', {places('new_pct', 0)})" for cut, text in fixed.DEVICE_TEXTS
     )
     return (
         every.join(totals, "merchant_id", "left")
@@ -136,7 +137,7 @@ def recent_activity(payments, merchants):
     base = merchants.selectExpr("id as merchant_id", "baseline_txn_rate", "name", "risk_tier", "baseline_avg_amount")
     default = fixed.MERCHANT_DEFAULTS["baseline_txn_rate"]
     whens = " ".join(
-        f"when velocity > {cut}D then format_string('{text}', velocity)" for cut, text in fixed.ACTIVITY_TEXTS
+        f"when velocity > {cut}D then format_string('{text}', {places('velocity', 1)})" for cut, text in fixed.ACTIVITY_TEXTS
     )
     return (
         counts.join(recent, "merchant_id")
@@ -149,7 +150,7 @@ def recent_activity(payments, merchants):
             *[f"txn_count_{m}m" for m in (1, 5, 10, 30)],
             "round(velocity, 2) as velocity_ratio",
             "double(avg_exact) as avg_amount", "failure_rate", "suspicious_rate",
-            f"case {whens} else format_string('{fixed.ACTIVITY_TEXT_NORMAL}', velocity) end as change_from_baseline",
+            f"case {whens} else format_string('{fixed.ACTIVITY_TEXT_NORMAL}', {places('velocity', 1)}) end as change_from_baseline",
         )
     )
 

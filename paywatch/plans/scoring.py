@@ -12,5 +12,5 @@ def assess(rows, ml_score=None):
     return risk.aggregate(scored).selectExpr("*", f"'{fixed.MODEL_VERSION}' as model_version")
 
 
-def score_payments(payments, base=None):
-    return assess(features.score_inputs(payments, base))
+def score_payments(payments, history=None):
+    return assess(features.score_inputs(payments, history))

@@ -49,3 +49,11 @@ def shared_dir(spark):
 def new_path(spark, name):
     """A fresh path in the shared folder."""
     return os.path.join(shared_dir(spark), f"{name}-{uuid.uuid4().hex[:12]}")
+
+
+def materialize(df, name):
+    """Writes a result that several branches read, so that it is computed once and survives lost executors."""
+    spark = df.sparkSession
+    path = new_path(spark, name)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -52,7 +52,7 @@ def suppress(candidates, window_us=fixed.DEDUP_WINDOW_US):
     )
 
 
-def score_batch(batch, batch_id, path, base, cutoff, known):
+def score_batch(batch, batch_id, path, history):
     """Scores one micro-batch with the batch feature definitions.
 
     The frames need the hour before the batch: those payments are read back from what earlier batches stored, so
@@ -61,15 +61,15 @@ def score_batch(batch, batch_id, path, base, cutoff, known):
     spark = batch.sparkSession
     batch = batch.persist()
     try:
-        rows = batch.withColumn("_fresh", F.lit(True))
+        rows = batch
         folder = os.path.join(path, "payments")
         if batch_id > 0:
             low = batch.agg(F.expr(f"min(ts_us) - {LOOK_BACK_US} as low_us"))
             earlier = spark.read.option("basePath", folder).parquet(folder).where(F.col(sinks.BATCH) < batch_id)
             earlier = earlier.join(F.broadcast(low), F.col("ts_us") >= F.col("low_us")).drop("low_us", sinks.BATCH)
-            rows = rows.unionByName(earlier.withColumn("_fresh", F.lit(False)), allowMissingColumns=True)
+            rows = rows.unionByName(earlier)
         sinks.write_batch(batch, folder, batch_id)
-        inputs = features.score_inputs(rows.drop("_fresh"), base, cutoff, known)
+        inputs = features.score_inputs(rows, history)
         fresh = batch.select("transaction_id")
         scored = scoring.assess(inputs.join(fresh, "transaction_id", "left_semi"))
         sinks.write_scored(scored, os.path.join(path, "scored"), batch_id)
@@ -77,10 +77,10 @@ def score_batch(batch, batch_id, path, base, cutoff, known):
         batch.unpersist()
 
 
-def run_scoring(stream, path, base, cutoff, known):
+def run_scoring(stream, path, history):
     """Drains a payment stream into the stored transactions, features and assessments."""
     def write(batch, folder, batch_id):
-        score_batch(batch, batch_id, folder, base, cutoff, known)
+        score_batch(batch, batch_id, folder, history)
 
     return sinks.drain(stream, path, write=write)
 
