@@ -132,7 +132,7 @@ def jn_alert_recent(spark, d):
 
 EVIDENCE = """
 patterns as (
-  select merchant_id, 0 as kind, place, printf('Payment method ''%s'' concentration: %s%%', payment_method, cast(pct as varchar))
+  select merchant_id, 0::bigint as kind, place, printf('Payment method ''%s'' concentration: %s%%', payment_method, cast(pct as varchar))
     as concentration from method_shares where pct > 70
   union all
   select merchant_id, 1, place, printf('Unusual geographic concentration: %s (%s%%)', location, cast(pct as varchar))

@@ -1,7 +1,5 @@
 """Gateway payloads to canonical rows: parsing, routing and unit rules."""
 
-from pyspark.sql import functions as F
-
 from paywatch import fixed
 from paywatch.functions import risk
 from paywatch.functions.hashing import stable_id
@@ -24,17 +22,20 @@ def text_or(column, default):
 
 
 def parse(raw, body="body"):
-    """Payloads with their event name, route and the first entity present; broken texts get the route 'broken'."""
-    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_broken"}
-    parsed = raw.withColumn("_p", F.from_json(F.col(body), PAYLOAD_SCHEMA, options))
+    """Payloads with their event name, route and the first entity present; broken texts get the route 'broken'.
+
+    The text is parsed by a generator, whose output the optimizer does not inline, so each text is parsed once.
+    """
+    options = "map('mode', 'PERMISSIVE', 'columnNameOfCorruptRecord', '_broken')"
+    parsed = raw.selectExpr("*", f"inline(array(from_json({body}, '{PAYLOAD_SCHEMA}', {options})))")
     entity = ", ".join(
-        f"if(to_json(_p.payload.{part}.entity) = '{{}}', null, _p.payload.{part}.entity)"
-        for part in ("payment", "order", "refund")
+        f"if(payload.{p}.entity.id is null and payload.{p}.entity.amount is null, null, payload.{p}.entity)"
+        for p in ("payment", "order", "refund")
     )
-    event = f"coalesce(_p.event, '{fixed.DEFAULT_GATEWAY_EVENT}')"
+    event = f"coalesce(event, '{fixed.DEFAULT_GATEWAY_EVENT}')"
     return parsed.selectExpr(
         *raw.columns, f"{event} as event", f"coalesce({entity}) as entity",
-        f"if(_p is null or _p._broken is not null, 'broken', {route(event)}) as route",
+        f"if(_broken is not null, 'broken', {route(event)}) as route",
     )
 
 
