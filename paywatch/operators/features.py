@@ -4,15 +4,11 @@ Counts, sums and distinct counts are sliding sums over tiles; only the median ne
 frames are closed at both ends, and rows with equal times see each other.
 """
 
-from bisect import bisect_left, insort
-
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from paywatch import fixed
 from paywatch.operators import baselines
+from paywatch.operators.medians import sliding_medians
 from paywatch.operators.tiles import Measure, sliding_sums, with_context
 
 TEN_MINUTES = 10 * fixed.MINUTE_US
@@ -60,19 +56,27 @@ def with_presence(df, subjects, window_us=TEN_MINUTES):
     """For each named subject (a list of columns): does this row open, and does it close, a stretch of presence?
 
     A row opens a stretch if the merchant has no earlier row of the subject inside the frame, and closes it if no
-    later row follows inside the frame. Counting open stretches counts distinct subjects. One shuffle on (merchant,
-    tile) serves all subjects: each window below only refines that partitioning.
+    later row follows inside the frame. Counting open stretches counts distinct subjects. Rows are spread over
+    (merchant, tile, first column), so a busy merchant is split by device or customer as well as by time; rows
+    without the value are spread by their own id. Subjects that share the first column share the shuffle.
     """
-    tiled = with_context(df, "ts_us", PRESENCE_TILE, window_us, window_us).repartition("merchant_id", "tile")
-    marks = []
-    for name, parts in subjects.items():
-        seen = f"over (partition by merchant_id, tile, {', '.join(parts)} order by ts_us, transaction_id)"
-        present = " and ".join(f"{p} is not null" for p in parts)
-        marks += [
-            f"{present} and coalesce(lag(ts_us) {seen} < ts_us - {window_us}, true) as {name}_opens",
-            f"{present} and coalesce(lead(ts_us) {seen} > ts_us + {window_us}, true) as {name}_closes",
-        ]
-    return tiled.selectExpr("*", *marks).where("own").drop("tile", "own")
+    for lead in dict.fromkeys(parts[0] for parts in subjects.values()):
+        group = "merchant_id, tile, _spread"
+        tiled = with_context(df, "ts_us", PRESENCE_TILE, window_us, window_us)
+        tiled = tiled.selectExpr("*", f"coalesce({lead}, concat('none/', transaction_id)) as _spread")
+        tiled = tiled.repartition("merchant_id", "tile", "_spread")
+        marks = []
+        for name, parts in subjects.items():
+            if parts[0] != lead:
+                continue
+            seen = f"over (partition by {', '.join([group, *parts[1:]])} order by ts_us, transaction_id)"
+            present = " and ".join(f"{p} is not null" for p in parts)
+            marks += [
+                f"{present} and coalesce(lag(ts_us) {seen} < ts_us - {window_us}, true) as {name}_opens",
+                f"{present} and coalesce(lead(ts_us) {seen} > ts_us + {window_us}, true) as {name}_closes",
+            ]
+        df = tiled.selectExpr("*", *marks).where("own").drop("tile", "own", "_spread")
+    return df
 
 
 def presence_measure(name, subject, only="true", window_us=TEN_MINUTES):
@@ -162,37 +166,9 @@ def rate_columns(df, baseline_divisor=1.0):
     )
 
 
-def with_median(df, window_us=fixed.HOUR_US):
+def with_median(df, payments, window_us=fixed.HOUR_US):
     """Interpolated median of the amounts in the frame."""
-    schema = T.StructType([*df.schema.fields, T.StructField("median_amount", T.DoubleType())])
-    tiled = with_context(df, "ts_us", MEDIAN_TILE, window_us)
-
-    def medians(table):
-        table = table.sort_by("ts_us")
-        times, amounts = table["ts_us"].to_numpy(), table["amount"].to_numpy()
-        table = table.append_column("median_amount", pa.array(sliding_median(times, amounts, window_us)))
-        return table.filter(table["own"]).drop_columns(["tile", "own"])
-
-    return tiled.groupBy("merchant_id", "tile").applyInArrow(medians, schema)
-
-
-def sliding_median(times, values, window):
-    """Median of the values with time in ``[t - window, t]`` for each (ascending) time, from a sorted list."""
-    frame, out, start, at, n = [], np.full(len(times), np.nan), 0, 0, len(times)
-    while at < n:
-        now, first = times[at], at
-        while at < n and times[at] == now:
-            if values[at] == values[at]:
-                insort(frame, values[at])
-            at += 1
-        while times[start] < now - window:
-            if values[start] == values[start]:
-                del frame[bisect_left(frame, values[start])]
-            start += 1
-        if frame:
-            mid = len(frame) // 2
-            out[first:at] = frame[mid] if len(frame) % 2 else (frame[mid - 1] + frame[mid]) / 2
-    return out
+    return sliding_medians(df, payments, "merchant_id", "ts_us", "amount", "transaction_id", "median_amount", window_us, MEDIAN_TILE)
 
 
 def with_baselines(payments, base):
@@ -205,7 +181,7 @@ def velocity(payments):
 
 def amount(payments, base):
     sums = sliding_sums(with_baselines(payments, base), ["merchant_id"], "ts_us", amount_measures())
-    return with_median(amount_columns(sums))
+    return with_median(amount_columns(sums), payments)
 
 
 def device(payments, known_devices):
@@ -240,8 +216,8 @@ def rates(payments, base, baseline_divisor=1.0):
 def extract(payments, history=None, baseline_divisor=1.0):
     """All features. Counts use every payment; sample the result, never the input.
 
-    Row data is shuffled for the new-device and new-customer joins (unless their known side is small), once for
-    presence, once for the sliding sums and once for the median.
+    Row data is shuffled for the new-device and new-customer joins (unless their known side is small), for the
+    presence of devices and of customers, for the sliding sums and for the median.
     """
     history = baselines.learn(payments) if history is None else history
     rows = with_baselines(payments, history.base).join(baselines.merchant_hours(payments), "merchant_id", "left")
@@ -258,7 +234,7 @@ def extract(payments, history=None, baseline_divisor=1.0):
         "transaction_id", "merchant_id", "timestamp", "ts_us", "amount", "is_suspicious",
         *[f"double({f}) as {f}" for f in fixed.FEATURES if f != "median_amount"],
     )
-    return with_median(out).select(
+    return with_median(out, payments).select(
         "transaction_id", "merchant_id", "timestamp", "ts_us", *fixed.FEATURES, "is_suspicious"
     )
 
