@@ -49,10 +49,11 @@ def block_exits(pdf, window_us, block_us):
     reach = (int(pdf["block"].iloc[0])) * block_us + window_us
     possible = np.ones(len(times), dtype=bool)
     possible[1:] = times[:-1] < reach
-    steps = pd.DataFrame({"upto": times[possible], "last": last[possible]}).groupby("last", as_index=False)["upto"].max()
-    return steps.assign(merchant_id=pdf["merchant_id"].iloc[0], block=pdf["block"].iloc[0])[
-        ["merchant_id", "block", "upto", "last"]
-    ]
+    entry, last = times[possible], last[possible]
+    ends = np.append(last[:-1] != last[1:], True)
+    return pd.DataFrame({
+        "merchant_id": pdf["merchant_id"].iloc[0], "block": pdf["block"].iloc[0], "upto": entry[ends], "last": last[ends]
+    })
 
 
 def walk_blocks(pdf, window_us):

@@ -37,12 +37,12 @@ def use_utc(spark):
 
 def shared_dir(spark):
     """The folder every executor can reach. A cluster names it; only a bare local session gets its own."""
-    folder = spark.conf.get(CHECKPOINT_KEY, None)
+    folder = spark.conf.get(CHECKPOINT_KEY, None) or spark.sparkContext.getCheckpointDir()
     if not folder:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError(f"set {CHECKPOINT_KEY} to a folder shared by all executors")
-        folder = tempfile.mkdtemp(prefix="paywatch-")
-        spark.conf.set(CHECKPOINT_KEY, folder)
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="paywatch-"))
+        folder = spark.sparkContext.getCheckpointDir()
     return folder
 
 
