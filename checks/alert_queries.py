@@ -510,7 +510,8 @@ def hmac_sql(text):
 # The checked ledger has one entry per payment, chained per merchant and day.
 LEDGER = f"""
 entries as (
-  select merchant_id || '/' || cast(t // 86400000000 as varchar) as chain_id, t as ts_us, transaction_id as audit_id,
+  select merchant_id || '/' || cast(t // 86400000000 as varchar) || '/' || cast((row_number() over (partition by merchant_id,
+    t // 86400000000 order by t, transaction_id) - 1) // 10000 as varchar) as chain_id, t as ts_us, transaction_id as audit_id,
     strftime(make_timestamp(t), '%Y-%m-%dT%H:%M:%S.%f') as ts_text, 'POLICY_EVALUATED' as action,
     'inv_' || substr(sha256(transaction_id), 1, 12) as investigation_id, 'System (Engine)' as actor,
     'policy ' || status as notes

@@ -57,17 +57,20 @@ class History:
     cutoff: DataFrame
     base: DataFrame
     devices: DataFrame
-    customers: DataFrame
+    customers: DataFrame | None = None
 
 
-def learn(payments, share=fixed.KNOWN_SHARE):
-    """Learns the history tables and stores them: the features read them several times and later runs may reuse them."""
+def learn(payments, share=fixed.KNOWN_SHARE, customers=True):
+    """Learns the history tables and stores them: the features read them several times and later runs may reuse them.
+
+    Scores do not look at customers, so that table can be left out.
+    """
     cutoff = materialize(known_cutoff(payments, share), "cutoff")
     return History(
         cutoff,
         materialize(baseline_first_share(payments, cutoff), "base"),
         materialize(known_values(payments, "device_id", cutoff), "devices"),
-        materialize(known_values(payments, "customer_id", cutoff), "customers"),
+        materialize(known_values(payments, "customer_id", cutoff), "customers") if customers else None,
     )
 
 

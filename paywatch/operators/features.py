@@ -241,7 +241,7 @@ def extract(payments, history=None, baseline_divisor=1.0):
 
 def score_inputs(payments, history=None):
     """Only the features the statistical scores read: no customer pass, no method shares, no median."""
-    history = baselines.learn(payments) if history is None else history
+    history = baselines.learn(payments, customers=False) if history is None else history
     rows = with_baselines(payments, history.base)
     rows = baselines.flag_new(rows, history.devices, "device_id", "is_new_device")
     present = with_presence(rows, {"device": SUBJECTS["device"]})

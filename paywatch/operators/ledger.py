@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from paywatch import fixed
 from paywatch.functions.hashing import hmac_sha256, stable_id
+from paywatch.operators.tiles import tile_of, tiled_rank
 
+CHAIN_ROWS = 10_000
 CHAIN_SCHEMA = (
     "chain_id string, seq long, id string, timestamp string, action string, investigation_id string, actor string,"
     " notes string, previous_hash string, integrity_hash string"
@@ -26,17 +28,22 @@ def audit_rows(outcomes):
     )
 
 
-def entries(audits):
-    """Ledger entries, one chain per merchant and day, in time order.
+def entries(audits, chain_rows=CHAIN_ROWS):
+    """Ledger entries in chains of at most ``chain_rows``: one chain per merchant and day, continued as numbered parts.
 
-    A chain stays short: suppression lets a merchant raise an alert at most every five minutes.
+    A chain can only be built in order, so its length is what one task must hold; a busy day becomes several chains.
     """
-    return audits.selectExpr(
-        f"concat(merchant_id, '/', string(ts_us div {fixed.DAY_US}L)) as chain_id", "ts_us", "audit_id",
+    days = audits.selectExpr(
+        f"concat(merchant_id, '/', string(ts_us div {fixed.DAY_US}L)) as book", "ts_us", "audit_id",
         "date_format(timestamp_micros(ts_us), \"yyyy-MM-dd'T'HH:mm:ss.SSSSSS\") as timestamp",
         "upper(event_type) as action", "investigation_id", "'System (Engine)' as actor",
         "concat('policy ', policy_result) as notes",
     )
+    placed = tiled_rank(days, ["book"], tile_of("ts_us", fixed.MINUTE_US), ["ts_us", "audit_id"], "place")
+    return placed.selectExpr(
+        f"concat(book, '/', string((place - 1) div {chain_rows})) as chain_id",
+        *[c for c in days.columns if c != "book"],
+    )
 
 
 def payload():
@@ -90,6 +97,15 @@ def verify(ledger, key):
     )
 
 
+def missing_parts(ledger):
+    """Books (merchant and day) whose numbered chains have a gap: a whole part was removed."""
+    parts = ledger.selectExpr(
+        "substring_index(chain_id, '/', 2) as book", "bigint(substring_index(chain_id, '/', -1)) as part"
+    )
+    counts = parts.groupBy("book").agg(F.expr("max(part) + 1 as expected"), F.expr("count(distinct part) as present"))
+    return counts.where("present < expected")
+
+
 def verify_signatures(bodies, key):
     """Whether each (body, signature) pair matches; without a key everything is accepted."""
     if not key:

@@ -56,6 +56,10 @@ def sliding_sums(df, keys, ts, measures, tile_us=fixed.MINUTE_US):
     sum at a row is the running total of both: a total inside the (keys, tile) cell plus the cell's opening balance.
     """
     payload, by = df.columns, ", ".join(keys)
+    asked, shared = measures, {}
+    for m in asked:
+        shared.setdefault((m.enter, m.leave or m.enter, m.window_us), m)
+    measures = list(shared.values())  # equal sums under several names are computed once
     windows = sorted({m.window_us for m in measures})
     # Odd positions come after every arrival at the same time, so the frame stays closed at both ends.
     steps = [f"named_struct('pos', {ts} * 2, 'w', 0L)"]
@@ -78,7 +82,9 @@ def sliding_sums(df, keys, ts, measures, tile_us=fixed.MINUTE_US):
         *payload, "_tile", "_arrived", *[f"sum(_d_{m.name}) {running} as _r_{m.name}" for m in measures]
     )
     return inside.where("_arrived").join(opening, [*keys, "_tile"], "left").selectExpr(
-        *payload, *[f"_r_{m.name} + coalesce(_o_{m.name}, 0) as {m.name}" for m in measures]
+        *payload, *[f"_r_{s} + coalesce(_o_{s}, 0) as {name}" for name, s in (
+            (m.name, shared[(m.enter, m.leave or m.enter, m.window_us)].name) for m in asked
+        )]
     )
 
 

@@ -61,13 +61,13 @@ def score_batch(batch, batch_id, path, history):
     spark = batch.sparkSession
     batch = batch.persist()
     try:
-        rows = batch
-        folder = os.path.join(path, "payments")
-        if batch_id > 0:
-            low = batch.agg(F.expr(f"min(ts_us) - {LOOK_BACK_US} as low_us"))
-            earlier = spark.read.option("basePath", folder).parquet(folder).where(F.col(sinks.BATCH) < batch_id)
-            earlier = earlier.join(F.broadcast(low), F.col("ts_us") >= F.col("low_us")).drop("low_us", sinks.BATCH)
-            rows = rows.unionByName(earlier)
+        rows, folder = batch, os.path.join(path, "payments")
+        oldest = batch.agg(F.min("ts_us")).first()[0]
+        if batch_id > 0 and oldest is not None:
+            # A literal bound, so that files and row groups older than the frames are skipped.
+            stored = spark.read.option("basePath", folder).parquet(folder)
+            earlier = stored.where((F.col("ts_us") >= oldest - LOOK_BACK_US) & (F.col(sinks.BATCH) < batch_id))
+            rows = rows.unionByName(earlier.drop(sinks.BATCH))
         sinks.write_batch(batch, folder, batch_id)
         inputs = features.score_inputs(rows, history)
         fresh = batch.select("transaction_id")

@@ -87,3 +87,14 @@ def test_policy_gate_and_decisions(spark):
     decisions = spark.createDataFrame([("a3", "reject", 1), ("a3", "approve", 2)], "alert_id string, decision string, decided_us long")
     final = {r.alert_id: (r.is_authorized, r.human_review_status) for r in policy.apply_decisions(gated, decisions).collect()}
     assert final["a3"] == (True, "approved") and final["a2"] == (False, "pending")
+
+
+def test_busy_days_become_several_chains(spark):
+    rows = spark.createDataFrame(
+        [("m", "evt", i * MINUTE, f"a{i:02d}") for i in range(25)], "merchant_id string, event_type string, ts_us long, audit_id string"
+    ).selectExpr("*", "audit_id as investigation_id", "'monitor' as policy_result")
+    book = ledger.chain(ledger.entries(rows, chain_rows=10), "key")
+    sizes = {r.chain_id: (r.records, r.chain_valid) for r in ledger.verify(book, "key").collect()}
+    assert sizes == {"m/0/0": (10, True), "m/0/1": (10, True), "m/0/2": (5, True)}
+    assert ledger.missing_parts(book).count() == 0
+    assert ledger.missing_parts(book.where("chain_id <> 'm/0/1'")).first().present == 2

@@ -51,3 +51,10 @@ def test_score_plan_stays_in_the_jvm(random_payments):
 def test_clean_values(spark):
     rows = spark.createDataFrame([(float("nan"),), (float("inf"),), (float("-inf"),), (None,), (2.5,)], "x double")
     assert [r.x for r in features.clean_matrix(rows, ["x"]).collect()] == [0.0, 100.0, -100.0, 0.0, 2.5]
+
+
+def test_newest_rows_are_limited_before_the_shuffle(random_payments):
+    from paywatch.operators import profiles
+
+    plan = profiles.last_n(random_payments, 100)._jdf.queryExecution().executedPlan().toString()
+    assert "WindowGroupLimit" in plan and "Partial" in plan
