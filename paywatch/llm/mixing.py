@@ -10,7 +10,8 @@ Documents lie on the line by size class (eight classes an octave), then by the M
 about one size, so the words taken come near the target even where few documents hold most of the words.
 
 A source of any size is handled: the line is cut into tiles of (size class, range of MD5), tile counts give each tile's
-start, and only a tile's rows are sorted together. One row for each source passes through a single task, as the targets
+start, and only a tile's rows are sorted together. The number of ranges follows the square root of the source's rows, so
+that neither the rows of a tile nor the tiles of a source grow as fast as the source. One row for each source passes through a single task, as the targets
 depend on all sources.
 
 Defined results: a null text has no words; documents without words keep their place on the line and take no words; the
@@ -23,8 +24,8 @@ from pyspark.sql import functions as F
 
 from paywatch.llm.common import WORD
 
-#: Rows that one tile may hold on average before its source is cut into more MD5 ranges.
-TILE_ROWS = 200_000
+#: A source of n documents has sqrt(n) / TILE_ROOT ranges of MD5.
+TILE_ROOT = 16
 #: An MD5 range is told by this many leading hex digits.
 HEX_DIGITS = 7
 OFFSET_STEPS = 1 << 20
@@ -72,12 +73,12 @@ def offset(source):
     return (F.conv(F.substring(F.md5(text), 1, HEX_DIGITS), 16, 10).cast("long") % OFFSET_STEPS) / F.lit(float(OFFSET_STEPS))
 
 
-def systematic(docs, text="text", source="source", key="doc_id", weights=(1, 2, 3), most=3, tile_rows=TILE_ROWS):
+def systematic(docs, text="text", source="source", key="doc_id", weights=(1, 2, 3), most=3, tile_root=TILE_ROOT):
     """All rows of ``docs`` with ``mix_size``, ``mix_source_size``, ``mix_target`` and the number of ``mix_copies``."""
     sized = docs.withColumn("mix_size", F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long"))
     goals = targets(sized.select(source, "mix_size"), source, weights, most)
     digest = F.md5(F.coalesce(F.col(key).cast("string"), F.lit("")))
-    ranges = F.ceil(F.col("mix_rows") / float(tile_rows))
+    ranges = F.ceil(F.sqrt("mix_rows") / float(tile_root))
     placed = (
         sized.join(goals, F.col(source).eqNullSafe(F.col("mix_source")))
         .withColumn("mix_class", size_class(F.col("mix_size")))
