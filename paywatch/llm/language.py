@@ -91,14 +91,15 @@ def _grams(batches):
 
 def fit(docs, text="text", lang="lang", key="doc_id", per_language=PER_LANGUAGE, min_count=MIN_COUNT, max_contexts=MAX_CONTEXTS):
     """Learns from ``per_language`` labelled texts of every language in ``docs``."""
-    order = F.xxhash64(F.col(key).cast("string"), F.col(text))
-    by_label = Window.partitionBy("lang").orderBy("h", "doc")
-    sample = (
-        docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull())
-        .select(F.col(lang).alias("lang"), F.col(text).alias("text"), order.alias("h"), F.col(key).alias("doc"))
-        .withColumn("r", F.row_number().over(by_label))
-        .where(F.col("r") <= per_language)
+    labelled = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(
+        F.col(lang).alias("lang"), F.col(text).alias("text"), F.xxhash64(F.col(key).cast("string"), F.col(text)).alias("h")
     )
+    # The sample is chosen without its texts, which are read again for the chosen rows only.
+    by_label = Window.partitionBy("lang").orderBy("h")
+    chosen = labelled.select("lang", "h").withColumn("r", F.row_number().over(by_label)).where(F.col("r") <= per_language)
+    chosen = chosen.select(F.col("lang").alias("of"), F.col("h").alias("number")).distinct()
+    sample = labelled.join(chosen, (F.col("lang") == F.col("of")) & (F.col("h") == F.col("number")), "left_semi")
+    sample = sample.groupBy("lang", "h").agg(F.first("text").alias("text"))
     counted = (
         sample.select("lang", "text").mapInArrow(_grams, "lang string, seen_in long, context long, byte long, n long")
         .groupBy("lang", "seen_in", "context", "byte").agg(F.sum("n").alias("n"))
