@@ -18,14 +18,14 @@ LEAST_SCORE = 0.5
 
 def identify(spark, docs, sf_dir):
     """Documents whose language is told; texts of the labelled documents themselves teach the languages."""
-    judged = language.predicted(docs, language.fit(docs))
-    known = (F.col("language.lang") != language.UNDETERMINED) & (F.col("language.score") > LEAST_SCORE)
+    judged = language.predicted(docs, language.fit(docs), result="__language")
+    known = (F.col("__language.lang") != language.UNDETERMINED) & (F.col("__language.score") > LEAST_SCORE)
     return judged.where(known).select(*docs.columns)
 
 
 def drop_lines(spark, docs, sf_dir):
     """Documents without the lines that another document keeps; ``n_chars`` follows the text."""
-    cleaned = line_dedup.dedup(docs).withColumn("text", F.col("line_result.text"))
+    cleaned = line_dedup.dedup(docs, result="__lines").withColumn("text", F.col("__lines.text"))
     if "n_chars" in docs.columns:
         cleaned = cleaned.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return cleaned.select(*docs.columns)

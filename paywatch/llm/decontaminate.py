@@ -259,15 +259,15 @@ def _searcher(spark, block):
     return look.asNondeterministic()
 
 
-def matched(docs, items, text="text", item_text="text", item_key="item_id", **options):
-    """``docs`` with ``leaks``: an array of (item, start, distance)."""
-    out = docs.withColumn("leaks", F.array().cast(FOUND))
+def matched(docs, items, text="text", item_text="text", item_key="item_id", result="leaks", **options):
+    """``docs`` with ``result``: an array of (item, start, distance)."""
+    out = docs.withColumn(result, F.array().cast(FOUND))
     for block in blocks(items, item_text, item_key, **options):
-        out = out.withColumn("leak_block", _searcher(docs.sparkSession, block)(F.col(text)))
-        out = out.withColumn("leaks", F.concat("leaks", "leak_block")).drop("leak_block")
+        out = out.withColumn("__leak_block", _searcher(docs.sparkSession, block)(F.col(text)))
+        out = out.withColumn(result, F.concat(result, "__leak_block")).drop("__leak_block")
     return out
 
 
 def clean(docs, items, **options):
     """The documents in which no item is found."""
-    return matched(docs, items, **options).where(F.size("leaks") == 0).drop("leaks")
+    return matched(docs, items, result="__leaks", **options).where(F.size("__leaks") == 0).drop("__leaks")

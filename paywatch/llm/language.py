@@ -214,11 +214,11 @@ def decide(model, bits, letters):
     return np.where(letters, names, UNDETERMINED), np.where(letters, score, 0.0), low
 
 
-def predicted(docs, model, text="text"):
-    """``docs`` with a struct ``language`` of (lang, score, bits)."""
+def predicted(docs, model, text="text", result="language"):
+    """``docs`` with a struct ``result`` of (lang, score, bits); a column of that name is replaced."""
     if not model.languages:
         nothing = f"named_struct('lang', '{UNDETERMINED}', 'score', 0d, 'bits', 0d)"
-        return docs.withColumn("language", F.expr(nothing))
+        return docs.withColumn(result, F.expr(nothing))
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.arrow_udf(RESULT)
@@ -231,4 +231,4 @@ def predicted(docs, model, text="text"):
         )
 
     # Not deterministic only in name: it keeps the optimizer from running the function once per use of its result.
-    return docs.withColumn("language", judge.asNondeterministic()(F.col(text), F.col(text).rlike(r"\p{L}")))
+    return docs.withColumn(result, judge.asNondeterministic()(F.col(text), F.col(text).rlike(r"\p{L}")))

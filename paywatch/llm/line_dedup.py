@@ -14,8 +14,8 @@ A key is counted before it is shuffled, so a line that every document holds does
 
 Defined results: a null or empty text is one empty line; keys shorter than ``min_chars`` code points always stay; a line
 that occurs twice in its smallest document stays twice; rows with the same id are one document; a null id is the largest
-id; an empty table gives an empty index and result. All columns of the input stay; the operator's own start with
-``line_``.
+id; an empty table gives an empty index and result. All columns of the input stay, but for one named like
+the result, which it replaces.
 """
 
 import hashlib
@@ -254,21 +254,21 @@ def _cleaner(min_chars):
     return clean.asNondeterministic()
 
 
-def cleaned(index, docs, text="text", key="doc_id", tested=None):
-    """``docs`` with a struct ``line_result`` of the kept text, the number of lines and of dropped lines.
+def cleaned(index, docs, text="text", key="doc_id", tested=None, result="line_result"):
+    """``docs`` with a struct ``result`` of the kept text, the number of lines and of dropped lines.
 
     ``tested``: the pairs of ``docs`` where they are at hand, as the last part of the index's log.
     """
     tested = pairs(docs, text, key, index.min_chars) if tested is None else tested
     half = lambda c: F.lpad(F.hex(c), 16, "0")
-    marks = dropped(index, tested).groupBy("doc").agg(
-        F.collect_set(F.unhex(F.concat(half("high"), half("low")))).alias("line_marks")
+    marks = dropped(index, tested).groupBy(F.col("doc").alias("__line_of")).agg(
+        F.collect_set(F.unhex(F.concat(half("high"), half("low")))).alias("__line_marks")
     )
-    joined = docs.withColumn("line_doc", document(key)).join(marks, F.col("line_doc") == F.col("doc"), "left").drop("doc", "line_doc")
-    return joined.withColumn("line_result", _cleaner(index.min_chars)(F.col(text), F.col("line_marks"))).drop("line_marks")
+    joined = docs.withColumn("__line_doc", document(key)).join(marks, F.col("__line_doc") == F.col("__line_of"), "left")
+    return joined.withColumn(result, _cleaner(index.min_chars)(F.col(text), F.col("__line_marks"))).drop("__line_marks", "__line_doc", "__line_of")
 
 
-def dedup(docs, text="text", key="doc_id", min_chars=MIN_CHARS):
+def dedup(docs, text="text", key="doc_id", min_chars=MIN_CHARS, result="line_result"):
     """Indexes ``docs`` as the first batch and cleans them."""
     index = insert(create(docs.sparkSession, min_chars=min_chars), docs, text, key)
-    return cleaned(index, docs, text, key, index.log[-1])
+    return cleaned(index, docs, text, key, index.log[-1], result)

@@ -195,6 +195,6 @@ def extracted(pages: pa.Array) -> pa.Array:
     return pa.array([main_text(page.as_py()) for page in pages], pa.string())
 
 
-def extract(pages, html="html"):
-    """``pages`` with ``main_text``."""
-    return pages.withColumn("main_text", extracted.asNondeterministic()(F.col(html)))
+def extract(pages, html="html", result="main_text"):
+    """``pages`` with ``result``; a column of that name is replaced."""
+    return pages.withColumn(result, extracted.asNondeterministic()(F.col(html)))

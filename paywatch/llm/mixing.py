@@ -16,7 +16,8 @@ depend on all sources.
 
 Defined results: a null text has no words; documents without words keep their place on the line and take no words; the
 null source comes last; repeated ids and repeated rows are documents of their own; a null id counts as the empty text;
-an empty table gives an empty result. All columns of the input stay; the operator's own start with ``mix_``.
+an empty table gives an empty result. All columns of the input stay, but for those named like the
+result's own, which it replaces.
 """
 
 from pyspark.sql import Window
@@ -29,41 +30,42 @@ TILE_ROOT = 16
 #: An MD5 range is told by this many leading hex digits.
 HEX_DIGITS = 7
 OFFSET_STEPS = 1 << 20
+OWN = ("mix_size", "mix_source_size", "mix_target", "mix_copies")
 
 
 def size_class(size):
     """Length in binary digits and the three digits after the first: eight classes an octave."""
     digits = F.length(F.bin(size))
     return F.when(size <= 0, F.lit(0).cast("long")).otherwise(
-        digits.cast("long") * 8 + F.expr("shiftright(mix_size, cast(greatest(length(bin(mix_size)) - 4, 0) as int))") % 8
+        digits.cast("long") * 8 + F.expr("shiftright(__mix_size, cast(greatest(length(bin(__mix_size)) - 4, 0) as int))") % 8
     )
 
 
 def targets(sizes, source, weights=(1, 2, 3), most=3):
-    """One row per source: words, documents, weight and target. ``sizes``: ``source`` and ``mix_size`` per document."""
-    per_source = sizes.groupBy(F.col(source).alias("mix_source")).agg(
-        F.sum("mix_size").alias("mix_source_size"), F.count(F.lit(1)).alias("mix_rows")
+    """One row per source: words, documents, weight and target. ``sizes``: ``source`` and ``__mix_size`` per document."""
+    per_source = sizes.groupBy(F.col(source).alias("__mix_source")).agg(
+        F.sum("__mix_size").alias("__mix_source_size"), F.count(F.lit(1)).alias("__mix_rows")
     )
     cycle = F.array(*[F.lit(float(w)) for w in weights])
-    order = Window.orderBy(F.col("mix_source").asc_nulls_last())
+    order = Window.orderBy(F.col("__mix_source").asc_nulls_last())
     weighed = per_source.withColumn(
-        "mix_weight", F.element_at(cycle, ((F.row_number().over(order) - 1) % len(weights) + 1).cast("int"))
-    ).withColumn("mix_limit", F.col("mix_source_size") * float(most))
+        "__mix_weight", F.element_at(cycle, ((F.row_number().over(order) - 1) % len(weights) + 1).cast("int"))
+    ).withColumn("__mix_limit", F.col("__mix_source_size") * float(most))
     # Sources reach their limit in the order of limit / weight; the level is what a unit of weight gets once the
     # sources before this one have stopped. It rises while sources stop and falls once one is taken as stopped that
     # is not, so the highest level is the true one.
-    rising = Window.orderBy(F.col("mix_limit") / F.col("mix_weight"), F.col("mix_source").asc_nulls_last())
+    rising = Window.orderBy(F.col("__mix_limit") / F.col("__mix_weight"), F.col("__mix_source").asc_nulls_last())
     everything = Window.partitionBy()
     levels = (
-        weighed.withColumn("mix_total", F.sum("mix_source_size").over(everything))
-        .withColumn("mix_stopped", F.coalesce(F.sum("mix_limit").over(rising.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)))
-        .withColumn("mix_open", F.sum("mix_weight").over(rising.rowsBetween(0, Window.unboundedFollowing)))
-        .withColumn("mix_level", (F.col("mix_total") - F.col("mix_stopped")) / F.col("mix_open"))
-        .withColumn("mix_level", F.max("mix_level").over(everything))
+        weighed.withColumn("__mix_total", F.sum("__mix_source_size").over(everything))
+        .withColumn("__mix_stopped", F.coalesce(F.sum("__mix_limit").over(rising.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)))
+        .withColumn("__mix_open", F.sum("__mix_weight").over(rising.rowsBetween(0, Window.unboundedFollowing)))
+        .withColumn("__mix_level", (F.col("__mix_total") - F.col("__mix_stopped")) / F.col("__mix_open"))
+        .withColumn("__mix_level", F.max("__mix_level").over(everything))
     )
     return levels.select(
-        "mix_source", "mix_source_size", "mix_rows",
-        F.least(F.col("mix_limit"), F.col("mix_weight") * F.col("mix_level")).alias("mix_target"),
+        "__mix_source", "__mix_source_size", "__mix_rows",
+        F.least(F.col("__mix_limit"), F.col("__mix_weight") * F.col("__mix_level")).alias("__mix_target"),
     )
 
 
@@ -75,35 +77,38 @@ def offset(source):
 
 def systematic(docs, text="text", source="source", key="doc_id", weights=(1, 2, 3), most=3, tile_root=TILE_ROOT):
     """All rows of ``docs`` with ``mix_size``, ``mix_source_size``, ``mix_target`` and the number of ``mix_copies``."""
-    sized = docs.withColumn("mix_size", F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long"))
-    goals = targets(sized.select(source, "mix_size"), source, weights, most)
+    sized = docs.withColumn("__mix_size", F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long"))
+    goals = targets(sized.select(source, "__mix_size"), source, weights, most)
     digest = F.md5(F.coalesce(F.col(key).cast("string"), F.lit("")))
-    ranges = F.ceil(F.sqrt("mix_rows") / float(tile_root))
+    ranges = F.ceil(F.sqrt("__mix_rows") / float(tile_root))
     placed = (
-        sized.join(goals, F.col(source).eqNullSafe(F.col("mix_source")))
-        .withColumn("mix_class", size_class(F.col("mix_size")))
-        .withColumn("mix_md5", digest)
+        sized.join(goals, F.col(source).eqNullSafe(F.col("__mix_source")))
+        .withColumn("__mix_class", size_class(F.col("__mix_size")))
+        .withColumn("__mix_md5", digest)
         .withColumn(
-            "mix_range",
-            F.floor(F.conv(F.substring("mix_md5", 1, HEX_DIGITS), 16, 10).cast("long") * ranges / float(16**HEX_DIGITS)),
+            "__mix_range",
+            F.floor(F.conv(F.substring("__mix_md5", 1, HEX_DIGITS), 16, 10).cast("long") * ranges / float(16**HEX_DIGITS)),
         )
     )
-    tile = ["mix_source", "mix_class", "mix_range"]
-    before = Window.partitionBy("mix_source").orderBy("mix_class", "mix_range").rowsBetween(Window.unboundedPreceding, -1)
-    starts = placed.groupBy(*tile).agg(F.count(F.lit(1)).alias("n")).withColumn("mix_start", F.coalesce(F.sum("n").over(before), F.lit(0)))
-    starts = starts.select(*[F.col(c).alias(f"s_{c}") for c in tile], "mix_start")
-    inside = Window.partitionBy(*tile).orderBy("mix_md5", F.col(key).asc_nulls_first(), "mix_size")
+    tile = ["__mix_source", "__mix_class", "__mix_range"]
+    before = Window.partitionBy("__mix_source").orderBy("__mix_class", "__mix_range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = placed.groupBy(*tile).agg(F.count(F.lit(1)).alias("n")).withColumn("__mix_start", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    starts = starts.select(*[F.col(c).alias(f"s_{c}") for c in tile], "__mix_start")
+    inside = Window.partitionBy(*tile).orderBy("__mix_md5", F.col(key).asc_nulls_first(), "__mix_size")
     same = [F.col(c).eqNullSafe(F.col(f"s_{c}")) for c in tile]
-    rate = F.when(F.col("mix_source_size") > 0, F.col("mix_target") / F.col("mix_source_size")).otherwise(F.lit(0.0))
-    shift = offset(F.col("mix_source"))
-    crossed = F.floor(shift + F.col("mix_place") * rate) - F.floor(shift + (F.col("mix_place") - 1) * rate)
-    ranked = placed.withColumn("mix_row", F.row_number().over(inside)).join(starts, same[0] & same[1] & same[2])
-    return ranked.withColumn("mix_place", F.col("mix_start") + F.col("mix_row")).select(
-        *[F.col(c) for c in docs.columns], "mix_size", "mix_source_size", "mix_target", crossed.cast("long").alias("mix_copies")
+    rate = F.when(F.col("__mix_source_size") > 0, F.col("__mix_target") / F.col("__mix_source_size")).otherwise(F.lit(0.0))
+    shift = offset(F.col("__mix_source"))
+    crossed = F.floor(shift + F.col("__mix_place") * rate) - F.floor(shift + (F.col("__mix_place") - 1) * rate)
+    ranked = placed.withColumn("__mix_row", F.row_number().over(inside)).join(starts, same[0] & same[1] & same[2])
+    return ranked.withColumn("__mix_place", F.col("__mix_start") + F.col("__mix_row")).select(
+        *[F.col(c) for c in docs.columns if c not in OWN], F.col("__mix_size").alias("mix_size"),
+        F.col("__mix_source_size").alias("mix_source_size"), F.col("__mix_target").alias("mix_target"), crossed.cast("long").alias("mix_copies"),
     )
 
 
 def emit(docs, **options):
     """The mix itself: every document as often as it is taken, with the columns of ``docs`` and ``mix_copy`` from 1."""
-    taken = systematic(docs, **options).where("mix_copies > 0")
-    return taken.select(*[F.col(c) for c in docs.columns], F.explode(F.sequence(F.lit(1).cast("long"), F.col("mix_copies"))).alias("mix_copy"))
+    own = {c: f"__own_{c}" for c in docs.columns if c in OWN}
+    taken = systematic(docs.withColumnsRenamed(own), **options).where("mix_copies > 0")
+    copies = F.explode(F.sequence(F.lit(1).cast("long"), F.col("mix_copies"))).alias("mix_copy")
+    return taken.select(*[F.col(own.get(c, c)).alias(c) for c in docs.columns if c != "mix_copy"], copies)

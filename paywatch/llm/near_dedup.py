@@ -18,7 +18,7 @@ Every link is verified on the exact runs of both whole texts.
 Defined results: a null text is an empty text; texts without words are duplicates of each other; a text of fewer than
 five words has one run, all its words; white space outside words does not count; repeated rows and repeated ids with the
 same text are copies, repeated ids with different texts are nodes of their own; a null id is the largest id; an empty
-table gives an empty result. Extra columns stay; the operator's own start with ``near_``.
+table gives an empty result. Extra columns stay.
 """
 
 import numpy as np
@@ -244,7 +244,7 @@ def labelled(docs, text="text", key="doc_id", **options):
 def first_of_each(docs, text="text", key="doc_id", **options):
     """One row of every class: that of the document that names it, once."""
     named, _ = classes(docs, text, key, **options)
-    leads = named.where("near_leads").select("near_first", "near_digest")
-    marked = docs.withColumn("near_key", _key(key)).withColumn("near_text", _digest(text))
-    joined = marked.join(leads, (F.col("near_key") == F.col("near_first")) & (F.col("near_text") == F.col("near_digest")))
-    return joined.dropDuplicates(["near_key", "near_text"]).select(*[F.col(c) for c in docs.columns])
+    leads = named.where("near_leads").select(F.col("near_first").alias("__near_first"), F.col("near_digest").alias("__near_digest"))
+    marked = docs.withColumn("__near_key", _key(key)).withColumn("__near_text", _digest(text))
+    joined = marked.join(leads, (F.col("__near_key") == F.col("__near_first")) & (F.col("__near_text") == F.col("__near_digest")))
+    return joined.dropDuplicates(["__near_key", "__near_text"]).select(*[F.col(c) for c in docs.columns])

@@ -325,8 +325,8 @@ def added(field, texts, base):
 SPANS = "array<struct<start: long, kind: int, end: long, added: boolean>>"
 
 
-def found(docs, field=None, text="text"):
-    """``docs`` with ``pii``: all spans by start, then kind."""
+def found(docs, field=None, text="text", result="pii"):
+    """``docs`` with ``result``, which replaces a column of that name: all spans by start, then kind."""
     shared = docs.sparkSession.sparkContext.broadcast(field or fit())
     kinds = pa.list_(pa.struct([("start", pa.int64()), ("kind", pa.int32()), ("end", pa.int64()), ("added", pa.bool_())]))
 
@@ -341,4 +341,4 @@ def found(docs, field=None, text="text"):
             for own, new in zip(base, more, strict=True)
         ], kinds)
 
-    return docs.withColumn("pii", look.asNondeterministic()(F.col(text)))
+    return docs.withColumn(result, look.asNondeterministic()(F.col(text)))
