@@ -88,9 +88,7 @@ measured as (
     count(distinct customer_id) over w10 as customers,
     count(distinct case when is_new_customer then customer_id end) over w10 as new_customers,
     count(*) filter (status = 'failed') over w10 as failed, count(*) filter (is_suspicious) over w10 as suspicious,
-    [count(*) filter (payment_method = 'upi') over w10, count(*) filter (payment_method = 'card') over w10,
-     count(*) filter (payment_method = 'netbanking') over w10, count(*) filter (payment_method = 'wallet') over w10,
-     count(*) filter (payment_method = 'emi') over w10] as methods
+    coalesce(map_values(histogram(lower(payment_method)) over w10), []) as methods
   from flagged
   window w1 as {frame(1)}, w5 as {frame(5)}, w10 as {frame(10)}, w30 as {frame(30)}, w60 as {frame(60)}
 ),

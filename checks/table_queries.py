@@ -8,7 +8,8 @@ from paywatch.operators import alerts as alert_ops
 from paywatch.operators import baselines, evaluation, features, profiles, quality, sampling
 from paywatch.operators.tiles import Measure, sliding_sums
 from paywatch.session import materialize, new_path
-from paywatch.sources import files, gateway, streams
+from checks import gateway
+from paywatch.sources import files, streams
 from paywatch.sources.tables import read_table
 
 from checks.alert_queries import audits, evidence_sql, ledger_rows, ledger_sql

@@ -71,7 +71,6 @@ MODEL_VERSION = "v1.0.0"
 # Alerts.
 ALERT_LEVELS = ["high", "critical"]
 ACTIVE_ALERT_STATUSES = ["open", "investigating"]
-ALERT_STATUSES = ["open", "investigating", "resolved", "escalated", "false_positive"]
 DEDUP_WINDOW_US = 5 * MINUTE_US
 ALERT_SUMMARY = "FRAUD SPIKE DETECTED — Merchant %s. Current rate: %s/min (baseline: %s/min, spike: %sx). Risk: %s."
 
@@ -92,10 +91,6 @@ DEVICE_TEXTS = [(50.0, "HIGH: %s%% new devices detected"), (20.0, "Elevated: %s%
 DEVICE_TEXT_NORMAL = "Normal distribution"
 DEVICE_TEXT_NONE = "No device data available"
 DEVICE_UNAVAILABLE = "UNAVAILABLE — no device data should be assumed"
-DEVICE_ERROR = (
-    "get_device_activity: Device activity service is currently unavailable. "
-    "This is a known service degradation. No device data should be assumed or fabricated."
-)
 
 # Unusual concentrations.
 METHOD_SHARE_CUT = 70.0
@@ -129,7 +124,6 @@ NO_FINDINGS = "Insufficient evidence for detailed findings."
 # Policy.
 POLICY_THRESHOLDS = {"low": 0.3, "medium": 0.6, "high": 0.8, "critical": 0.95}
 ALLOWED_ACTIONS = ["monitor", "investigate", "escalate_for_review", "enhanced_verification"]
-POLICY_ACTIONS = ALLOWED_ACTIONS + ["block_pending_review"]
 # risk level, action, needs approval
 POLICY_MATRIX = [
     ("low", "monitor", False),
@@ -186,10 +180,8 @@ LABEL_SMALL_AMOUNT = (1.0, 50.0)
 LABEL_METHOD_ROWS = 5
 
 # Stored rows.
-TRANSACTION_SOURCES = ["gateway", "synthetic", "test"]
 GENESIS_HASH = "0" * 64
 BASELINE_DAYS = 7
 METRIC_TTL_US = HOUR_US
-FEED_ROWS = 100
 CHART_POINTS = 30
 CHART_SPIKE = 2.5

@@ -16,8 +16,12 @@ def latest_time(payments):
 
 
 def since(payments, as_of, span_us, ts="ts_us"):
-    """Rows not older than ``span_us`` before ``as_of`` (one row, so its broadcast is bounded by construction)."""
-    return payments.join(F.broadcast(as_of), payments[ts] >= F.col("as_of_us") - F.lit(span_us)).drop("as_of_us")
+    """Rows not older than ``span_us`` before ``as_of``, microseconds or a one-row table of them.
+
+    The bound is read first and becomes a literal, so it reaches the scan of a stored table and prunes it.
+    """
+    newest = as_of if as_of is None or isinstance(as_of, int) else as_of.first()["as_of_us"]
+    return payments.where(F.lit(False)) if newest is None else payments.where(F.col(ts) >= F.lit(newest - span_us))
 
 
 def baseline_7d(payments, merchants, as_of=None):

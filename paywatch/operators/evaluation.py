@@ -5,6 +5,8 @@ from pyspark.sql import functions as F
 from paywatch import fixed
 from paywatch.functions import risk
 
+SCORE_TILES = 256
+
 
 def feature_moments(features, names=tuple(fixed.FEATURES)):
     """Mean and population deviation per feature, a deviation of 0 as 1."""
@@ -30,14 +32,9 @@ def zscore_model(features, fitted, names=tuple(fixed.ZSCORE_FEATURES)):
     ).selectExpr("*", f"int(score > {fixed.ZSCORE_CUT}D) as prediction")
 
 
-def outcome_counts(predictions, by="model", digits=4):
-    """Rows per model, score (to ``digits`` places), label and prediction: all the metrics below need.
-
-    At most 4 * (10^digits + 1) rows per model, so the curve's cumulative pass stays small.
-    """
-    return predictions.groupBy(by, F.expr(f"round(score, {digits}) as score"), "label", "prediction").agg(
-        F.expr("count(1) as n")
-    )
+def outcome_counts(predictions, by="model"):
+    """Rows per model, score, label and prediction: all the metrics below need."""
+    return predictions.groupBy(by, "score", "label", "prediction").agg(F.expr("count(1) as n"))
 
 
 def confusion(counts, by="model"):
@@ -56,15 +53,29 @@ def confusion(counts, by="model"):
     )
 
 
-def pr_auc(counts, by="model"):
-    """Area under the precision-recall curve by trapezoids over the distinct scores, ending at recall 0, precision 1."""
+def pr_auc(counts, by="model", tiles=SCORE_TILES):
+    """Area under the precision-recall curve by trapezoids over the distinct scores, ending at recall 0, precision 1.
+
+    Distinct scores may be as many as rows. Quantiles of each model's scores cut them into tiles; totals of the tiles
+    with higher scores open each tile's own running totals, so no task sorts a whole model.
+    """
     steps = counts.groupBy(by, "score").agg(F.expr("sum(n) as n"), F.expr("sum(if(label = 1, n, 0)) as hits"))
-    down = f"over (partition by {by} order by score desc)"
-    curve = steps.selectExpr(
-        by, "score", f"sum(hits) {down} as tp", f"sum(n) {down} as flagged", f"sum(hits) over (partition by {by}) as positives"
-    ).selectExpr(by, "score", "tp / double(flagged) as p", "tp / nullif(double(positives), 0) as r")
+    shares = ", ".join(f"{i / tiles}D" for i in range(1, tiles))
+    cuts = steps.groupBy(by).agg(F.expr(f"percentile_approx(score, array({shares}), {20 * tiles}) as _cuts"))
+    tiled = steps.join(cuts, by).selectExpr(by, "score", "n", "hits", "size(filter(_cuts, c -> c < score)) as _tile")
+    above = f"over (partition by {by} order by _tile desc rows between unbounded preceding and 1 preceding)"
+    opening = tiled.groupBy(by, "_tile").agg(F.expr("sum(n) as _n"), F.expr("sum(hits) as _h")).selectExpr(
+        by, "_tile", f"coalesce(sum(_n) {above}, 0) as _flagged", f"coalesce(sum(_h) {above}, 0) as _tp",
+        f"sum(_h) over (partition by {by}) as positives",
+    )
+    down = f"over (partition by {by}, _tile order by score desc)"
+    curve = tiled.selectExpr("*", f"sum(hits) {down} as _hits", f"sum(n) {down} as _rows").join(opening, [by, "_tile"]).selectExpr(
+        by, "_tp + _hits as tp", "_flagged + _rows as flagged", "_tp + _hits - hits as tp_before",
+        "_flagged + _rows - n as flagged_before", "positives",
+    )
     areas = curve.selectExpr(
-        by, f"(r - coalesce(lag(r) {down}, 0)) * (p + coalesce(lag(p) {down}, 1)) / 2 as area"
+        by, "(tp - tp_before) / nullif(double(positives), 0)"
+        " * (tp / double(flagged) + if(flagged_before = 0, 1D, tp_before / double(flagged_before))) / 2 as area",
     )
     return areas.groupBy(by).agg(F.expr("round(coalesce(sum(area), 0), 4) as pr_auc"))
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from paywatch import fixed
 from paywatch.operators import baselines
 from paywatch.operators.medians import sliding_medians
-from paywatch.operators.tiles import Measure, sliding_sums, with_context
+from paywatch.operators.tiles import Measure, running_totals, sliding_sums, with_context
 
 TEN_MINUTES = 10 * fixed.MINUTE_US
 PRESENCE_TILE = 6 * TEN_MINUTES
@@ -112,29 +112,66 @@ def customer_columns(df):
     return df.selectExpr("*", "new_customers / double(greatest(unique_customers, 1)) as new_customer_ratio")
 
 
-def method_measures(methods=tuple(fixed.PAYMENT_METHODS)):
+#: Methods are compared without regard to case: gateways write Upi, streams upi.
+METHOD = "lower(payment_method)"
+
+
+def with_methods(df, payments, window_us=TEN_MINUTES):
+    """For each payment, what its arrival and its expiry change about the methods of the merchant's frame.
+
+    Any method that occurs counts; none is listed. Running totals inside (merchant, method) give a method's count after
+    each step, hence the change of the sum of n ln n and of the number of methods in use. A step moves one method across
+    one count; running totals inside (merchant, count) tell whether it is the first to reach that count or the last to
+    leave it, hence the change of the largest count. Payments carry distinct ids.
+    """
+    steps = payments.where("payment_method is not null").selectExpr(
+        "merchant_id", f"{METHOD} as method", "transaction_id", "ts_us",
+        f"inline(array(named_struct('pos', ts_us * 2, 'sign', 1), named_struct('pos', (ts_us + {window_us}L) * 2 + 1, 'sign', -1)))",
+    )
+    order = ["pos", "transaction_id", "sign"]
+    counted = running_totals(steps, ["merchant_id", "method"], order, {"n": "sign"})
+    levels = counted.selectExpr("*", "greatest(n, n - sign) as level")
+    held = running_totals(levels, ["merchant_id", "level"], order, {"holders": "sign"})
+    changes = held.selectExpr(
+        "merchant_id", "transaction_id", "ts_us", "sign",
+        "case when sign = 1 and n = 1 then 1 when sign = -1 and n = 0 then -1 else 0 end as used",
+        "case when sign = 1 and holders = 1 then 1 when sign = -1 and holders = 0 then -1 else 0 end as most",
+        f"{n_ln_n('n')} - {n_ln_n('n - sign')} as nlnn",
+    )
+    per_payment = changes.groupBy("merchant_id", "transaction_id", "ts_us").agg(*[
+        F.expr(f"sum(if(sign = {sign}, {sign} * {name}, 0)) as {name}_{side}")
+        for name in ("used", "most", "nlnn") for sign, side in ((1, "in"), (-1, "out"))
+    ])
+    return df.join(per_payment, ["merchant_id", "transaction_id", "ts_us"], "left")
+
+
+def n_ln_n(n):
+    """Exact decimals, so that steps cancel."""
+    return f"cast(if({n} > 0, ({n}) * ln({n}), 0) as decimal(28,10))"
+
+
+def method_measures():
+    return [
+        Measure(f"method_{name}", f"coalesce({name}_in, 0)", TEN_MINUTES, f"coalesce({name}_out, 0)")
+        for name in ("used", "most", "nlnn")
+    ] + [Measure("method_rows", "int(payment_method is not null)", TEN_MINUTES)] + failure_measures()
+
+
+def failure_measures():
     return [
-        Measure(f"method_{m}", f"int(coalesce(payment_method = '{m}', false))", TEN_MINUTES) for m in methods
-    ] + [
         Measure("rows_10m", "1", TEN_MINUTES),
         Measure("failed_10m", "int(coalesce(status = 'failed', false))", TEN_MINUTES),
     ]
 
 
-def method_columns(df, methods=tuple(fixed.PAYMENT_METHODS)):
-    """Shares over a fixed list of methods; rows without a method are left out of the shares."""
-    counts = ", ".join(f"double(method_{m})" for m in methods)
-    return (
-        df.selectExpr("*", f"filter(array({counts}), c -> c > 0) as _counts")
-        .selectExpr("*", "transform(_counts, c -> c / aggregate(_counts, 0D, (s, x) -> s + x)) as _shares")
-        .selectExpr(
-            "*",
-            "if(size(_shares) > 1, -aggregate(_shares, 0D, (s, p) -> s + p * ln(p)), 0) as payment_method_entropy",
-            "failed_10m / double(rows_10m) as payment_failure_rate",
-            "if(size(_shares) > 0, array_max(_shares) - 1D / greatest(size(_shares), 1), 0) as payment_method_spike",
-            "coalesce(array_max(_shares), 0) as method_max_share",
-        )
-        .drop("_counts", "_shares")
+def method_columns(df):
+    """Shares over the methods that occur; rows without a method are left out of the shares."""
+    return df.selectExpr(
+        "*",
+        "if(method_used > 1, ln(method_rows) - double(method_nlnn) / method_rows, 0D) as payment_method_entropy",
+        "failed_10m / double(rows_10m) as payment_failure_rate",
+        "if(method_used > 0, method_most / double(method_rows) - 1D / method_used, 0D) as payment_method_spike",
+        "if(method_rows > 0, method_most / double(method_rows), 0D) as method_max_share",
     )
 
 
@@ -201,7 +238,7 @@ def customer(payments, known_customers):
 
 
 def method(payments):
-    return method_columns(sliding_sums(payments, ["merchant_id"], "ts_us", method_measures()))
+    return method_columns(sliding_sums(with_methods(payments, payments), ["merchant_id"], "ts_us", method_measures()))
 
 
 def time(payments):
@@ -217,12 +254,13 @@ def extract(payments, history=None, baseline_divisor=1.0):
     """All features. Counts use every payment; sample the result, never the input.
 
     Row data is shuffled for the new-device and new-customer joins (unless their known side is small), for the
-    presence of devices and of customers, for the sliding sums and for the median.
+    changes of methods, for the presence of devices and of customers, for the sliding sums and for the median.
     """
     history = baselines.learn(payments) if history is None else history
     rows = with_baselines(payments, history.base).join(baselines.merchant_hours(payments), "merchant_id", "left")
     rows = baselines.flag_new(rows, history.devices, "device_id", "is_new_device")
     rows = baselines.flag_new(rows, history.customers, "customer_id", "is_new_customer")
+    rows = with_methods(rows, payments)
     present = with_presence(rows, SUBJECTS).drop("currency", "location", "ip_address", "device_id", "customer_id")
     measures = (
         velocity_measures() + amount_measures() + method_measures() + rate_measures()
@@ -245,7 +283,7 @@ def score_inputs(payments, history=None):
     rows = with_baselines(payments, history.base)
     rows = baselines.flag_new(rows, history.devices, "device_id", "is_new_device")
     present = with_presence(rows, {"device": SUBJECTS["device"]})
-    measures = amount_measures() + rate_measures() + device_measures()[:2] + method_measures(())
+    measures = amount_measures() + rate_measures() + device_measures()[:2] + failure_measures()
     out = sliding_sums(present, ["merchant_id"], "ts_us", measures)
     out = rate_columns(amount_columns(out)).selectExpr(
         "*",

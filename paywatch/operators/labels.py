@@ -1,7 +1,6 @@
-"""Documented attack patterns as boolean columns, and what-if scoring of spike scenarios."""
+"""Documented attack patterns as boolean columns."""
 
 from paywatch import fixed
-from paywatch.functions import risk
 from paywatch.operators import baselines, features
 from paywatch.operators.tiles import sliding_sums
 
@@ -9,7 +8,8 @@ from paywatch.operators.tiles import sliding_sums
 def inputs(payments, base):
     """Rates and method shares of the last ten minutes next to the payment columns."""
     measures = features.rate_measures() + features.method_measures()
-    sums = sliding_sums(features.with_baselines(payments, base), ["merchant_id"], "ts_us", measures)
+    rows = features.with_methods(features.with_baselines(payments, base), payments)
+    sums = sliding_sums(rows, ["merchant_id"], "ts_us", measures)
     return features.method_columns(features.rate_columns(sums))
 
 
@@ -33,19 +33,3 @@ def patterns(rows, known_devices, known_locations):
     return tagged.selectExpr("*", f"array_compact(array({tags})) as tags").selectExpr(
         "transaction_id", "merchant_id", *names, "size(tags) >= 2 as combined", "array_join(tags, ',') as tag_list"
     )
-
-
-def simulate(scenarios):
-    """Scores spike scenarios (normal_txn_count, spike_txn_count, spike_duration_minutes, suspicious_ratio)."""
-    rated = scenarios.selectExpr(
-        "*",
-        "spike_txn_count / double(greatest(spike_duration_minutes, 1)) as current_rate",
-        "double(normal_txn_count) as baseline_rate", "normal_txn_count * 0.15D as baseline_std",
-    )
-    detected = risk.detect_rate(rated)
-    assessed = detected.selectExpr(
-        "*", "current_rate as txn_count_1m", "spike_ratio as velocity_ratio",
-        "suspicious_ratio * 0.8D as new_device_ratio", "suspicious_ratio * 0.3D as payment_failure_rate",
-        "3D as amount_deviation", "anomaly_score as ml_score",
-    )
-    return risk.aggregate(assessed)

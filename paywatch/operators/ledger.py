@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from paywatch import fixed
 from paywatch.functions.hashing import hmac_sha256, stable_id
-from paywatch.operators.tiles import tile_of, tiled_rank
 
-CHAIN_ROWS = 10_000
+LANES = 4
+#: Stands for a missing field in what is hashed, so that nulls neither fail nor shift the fields after them.
+MISSING = "\\N"
 CHAIN_SCHEMA = (
     "chain_id string, seq long, id string, timestamp string, action string, investigation_id string, actor string,"
     " notes string, previous_hash string, integrity_hash string"
@@ -28,26 +29,32 @@ def audit_rows(outcomes):
     )
 
 
-def entries(audits, chain_rows=CHAIN_ROWS):
-    """Ledger entries in chains of at most ``chain_rows``: one chain per merchant and day, continued as numbered parts.
+def entries(audits, lanes=LANES):
+    """Ledger entries with their chain: merchant, day and a lane told by the entry's id.
 
-    A chain can only be built in order, so its length is what one task must hold; a busy day becomes several chains.
+    A chain can only be built in order, so its length is what one task must hold. The key depends on the entry alone:
+    a late entry changes its own chain only. More ``lanes`` shorten the chains of busy merchants.
     """
-    days = audits.selectExpr(
-        f"concat(merchant_id, '/', string(ts_us div {fixed.DAY_US}L)) as book", "ts_us", "audit_id",
+    return audits.selectExpr(
+        f"concat_ws('/', coalesce(merchant_id, ''), string(ts_us div {fixed.DAY_US}L),"
+        f" string(conv(substr(md5(coalesce(audit_id, '')), 1, 8), 16, 10) % {int(lanes)})) as chain_id",
+        "ts_us", "audit_id",
         "date_format(timestamp_micros(ts_us), \"yyyy-MM-dd'T'HH:mm:ss.SSSSSS\") as timestamp",
         "upper(event_type) as action", "investigation_id", "'System (Engine)' as actor",
         "concat('policy ', policy_result) as notes",
     )
-    placed = tiled_rank(days, ["book"], tile_of("ts_us", fixed.MINUTE_US), ["ts_us", "audit_id"], "place")
-    return placed.selectExpr(
-        f"concat(book, '/', string((place - 1) div {chain_rows})) as chain_id",
-        *[c for c in days.columns if c != "book"],
-    )
+
+
+HASHED = ["id", "action", "investigation_id", "actor", "timestamp", "previous_hash"]
 
 
 def payload():
-    return F.concat_ws(":", "id", "action", "investigation_id", "actor", "timestamp", "previous_hash")
+    return F.concat_ws(":", *[F.coalesce(F.col(c), F.lit(MISSING)) for c in HASHED])
+
+
+def entry_id(chain_id, seq):
+    """Unique over the ledger: the chain's name and the place in it."""
+    return f"AUD-{chain_id}-{seq:04d}"
 
 
 def chain(rows, key):
@@ -58,9 +65,9 @@ def chain(rows, key):
         pdf = pdf.sort_values(["ts_us", "audit_id"]).reset_index(drop=True)
         previous, ids, before, hashes = fixed.GENESIS_HASH, [], [], []
         for i, row in enumerate(pdf.itertuples(index=False), start=1):
-            entry = f"AUD-{i:04d}"
-            text = ":".join([entry, row.action, row.investigation_id, row.actor, row.timestamp, previous])
-            ids.append(entry)
+            fields = [entry_id(row.chain_id, i), row.action, row.investigation_id, row.actor, row.timestamp, previous]
+            text = ":".join(MISSING if f is None or f != f else f for f in fields)
+            ids.append(fields[0])
             before.append(previous)
             previous = hmac.new(secret, text.encode("utf-8"), hashlib.sha256).hexdigest()
             hashes.append(previous)
@@ -71,8 +78,13 @@ def chain(rows, key):
     return rows.groupBy("chain_id").applyInPandas(link, CHAIN_SCHEMA)
 
 
+def heads(ledger):
+    """What has to be stored apart from the ledger to notice a cut end or a removed chain: each chain's length and last hash."""
+    return ledger.groupBy("chain_id").agg(F.expr("count(1) as entries"), F.expr("max_by(integrity_hash, seq) as head"))
+
+
 def check(ledger, key):
-    """Each row with its verdict: own hash right, link to the row before right, no gap in the numbering."""
+    """Each row with its verdict: own hash right, link to the row before right, no gap in the numbering. A null is wrong."""
     before = "over (partition by chain_id order by seq, id, integrity_hash)"
     return (
         ledger.withColumn("expected", hmac_sha256(payload(), key))
@@ -83,27 +95,31 @@ def check(ledger, key):
         )
         .selectExpr(
             *ledger.columns,
-            "integrity_hash = expected as hash_ok", "previous_hash = linked as link_ok", "seq = expected_seq as seq_ok",
+            "coalesce(integrity_hash = expected, false) as hash_ok", "coalesce(previous_hash = linked, false) as link_ok",
+            "coalesce(seq = expected_seq, false) as seq_ok",
         )
     )
 
 
-def verify(ledger, key):
-    """Per chain: rows, whether all hold, and the first sequence number that does not."""
-    return check(ledger, key).groupBy("chain_id").agg(
+def verify(ledger, key, stored=None):
+    """Per chain: rows, whether all hold, and the first sequence number that does not.
+
+    With the ``stored`` heads a chain must also have its length and last hash; a chain that is gone has no rows and is
+    not valid.
+    """
+    found = check(ledger, key).groupBy("chain_id").agg(
         F.expr("count(1) as records"),
         F.expr("bool_and(hash_ok and link_ok and seq_ok) as chain_valid"),
         F.expr("min(case when not (hash_ok and link_ok and seq_ok) then seq end) as first_bad_seq"),
+        F.expr("max_by(integrity_hash, seq) as last_hash"),
     )
-
-
-def missing_parts(ledger):
-    """Books (merchant and day) whose numbered chains have a gap: a whole part was removed."""
-    parts = ledger.selectExpr(
-        "substring_index(chain_id, '/', 2) as book", "bigint(substring_index(chain_id, '/', -1)) as part"
+    if stored is None:
+        return found.drop("last_hash")
+    return found.join(stored, "chain_id", "full").selectExpr(
+        "chain_id", "coalesce(records, 0) as records",
+        "coalesce(chain_valid and records = entries and last_hash = head, false) as chain_valid",
+        "case when chain_valid and records < entries then records + 1 else first_bad_seq end as first_bad_seq",
     )
-    counts = parts.groupBy("book").agg(F.expr("max(part) + 1 as expected"), F.expr("count(distinct part) as present"))
-    return counts.where("present < expected")
 
 
 def verify_signatures(bodies, key):

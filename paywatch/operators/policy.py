@@ -58,8 +58,9 @@ def permitted(requests):
     return joined.where("array_contains(granted, '*') or array_contains(granted, permission)").drop("granted")
 
 
-def may_approve(decisions):
-    return decisions.where(F.col("role").isin(*fixed.APPROVER_ROLES))
+def may_approve(role="role"):
+    """Whether a role may approve actions."""
+    return F.col(role).isin(*fixed.APPROVER_ROLES)
 
 
 def band_thresholds(df, overrides):

@@ -7,7 +7,6 @@ and not on the rows, are carried from tile to tile.
 
 from dataclasses import dataclass
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from paywatch import fixed
@@ -30,11 +29,6 @@ def with_context(df, ts, tile_us, back_us=0, ahead_us=0, tile="tile", own="own")
     )
 
 
-def range_window(keys, ts, back_us, tile="tile"):
-    """Frame ``[t - back, t]`` inside one tile made by ``with_context``; equal times are peers."""
-    return Window.partitionBy(*keys, tile).orderBy(ts).rangeBetween(-back_us, 0)
-
-
 @dataclass(frozen=True)
 class Measure:
     """A sum over the frame ``[t - window, t]``.
@@ -88,6 +82,21 @@ def sliding_sums(df, keys, ts, measures, tile_us=fixed.MINUTE_US):
     )
 
 
+def running_totals(df, keys, order, sums, tile_us=fixed.MINUTE_US):
+    """Adds, per group, the total of each expression over all rows up to the row by ``order``.
+
+    ``order`` begins with a position in half microseconds, as ``sliding_sums`` uses; its tiles carry only totals.
+    """
+    by = ", ".join(keys)
+    tiled = df.selectExpr("*", f"{tile_of(order[0], 2 * tile_us)} as _tile")
+    totals = tiled.groupBy(*keys, "_tile").agg(*[F.expr(f"sum({e}) as _t_{n}") for n, e in sums.items()])
+    earlier = f"over (partition by {by} order by _tile rows between unbounded preceding and 1 preceding)"
+    opening = totals.selectExpr(*keys, "_tile", *[f"sum(_t_{n}) {earlier} as _o_{n}" for n in sums])
+    running = f"over (partition by {by}, _tile order by {', '.join(order)} rows between unbounded preceding and current row)"
+    inside = tiled.selectExpr("*", *[f"sum({e}) {running} as _r_{n}" for n, e in sums.items()])
+    return inside.join(opening, [*keys, "_tile"]).selectExpr(*df.columns, *[f"_r_{n} + coalesce(_o_{n}, 0) as {n}" for n in sums])
+
+
 def tiled_rank(df, keys, tile, order, rank="rank", total=None):
     """1-based position of each row in its group by ``order``; the ``tile`` expression must not fall along that order.
 

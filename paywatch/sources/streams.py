@@ -12,7 +12,6 @@ AUDIT_SCHEMA = (
 PAYMENT_REQUIRED = ["transaction_id", "merchant_id", "amount", "payment_method", "event_time"]
 AUDIT_REQUIRED = ["event_type", "event_time"]
 ISO_MICROS = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"
-PAYMENT_GROUP = "risk-worker-group"
 
 
 def broker_source(spark, servers, topic, start="latest", group=None, per_trigger=100_000):

@@ -89,12 +89,38 @@ def test_policy_gate_and_decisions(spark):
     assert final["a3"] == (True, "approved") and final["a2"] == (False, "pending")
 
 
-def test_busy_days_become_several_chains(spark):
+def test_nulls_cut_ends_and_lost_chains(spark):
+    from pyspark.sql import functions as F
+
+    rows = spark.createDataFrame(
+        [("m" if i % 3 else None, "evt", i * MINUTE, f"a{i:02d}", None if i % 4 == 0 else "monitor") for i in range(90)],
+        "merchant_id string, event_type string, ts_us long, audit_id string, policy_result string",
+    ).withColumn("investigation_id", F.expr("if(ts_us % 7 = 0, null, audit_id)"))
+    book = ledger.chain(ledger.entries(rows, lanes=2), "key").cache()
+    stored = ledger.heads(book)
+    assert book.count() == 90 and book.select("id").distinct().count() == 90
+    assert all(r.chain_valid for r in ledger.verify(book, "key", stored).collect())
+    name = book.groupBy("chain_id").count().orderBy(F.desc("count"), "chain_id").first().chain_id
+    size = book.where(F.col("chain_id") == name).count()
+
+    def bad(changed, heads=None):
+        return {r.chain_id: (r.records, r.first_bad_seq) for r in ledger.verify(changed, "key", heads).collect() if not r.chain_valid}
+
+    forged = book.withColumn("integrity_hash", F.expr(f"if(chain_id = '{name}' and seq = {size}, null, integrity_hash)"))
+    forged = forged.withColumn("action", F.expr(f"if(chain_id = '{name}' and seq = {size}, 'FORGED', action)"))
+    assert bad(forged) == {name: (size, size)}
+    shifted = book.withColumn("actor", F.expr(f"if(chain_id = '{name}' and seq = 2, null, actor)"))
+    assert bad(shifted) == {name: (size, 2)}
+    cut = book.where(~F.expr(f"chain_id = '{name}' and seq = {size}"))
+    assert bad(cut) == {} and bad(cut, stored) == {name: (size - 1, size)}
+    assert bad(book.where(F.col("chain_id") != name), stored) == {name: (0, None)}
+
+
+def test_late_entry_changes_its_chain_only(spark):
     rows = spark.createDataFrame(
-        [("m", "evt", i * MINUTE, f"a{i:02d}") for i in range(25)], "merchant_id string, event_type string, ts_us long, audit_id string"
-    ).selectExpr("*", "audit_id as investigation_id", "'monitor' as policy_result")
-    book = ledger.chain(ledger.entries(rows, chain_rows=10), "key")
-    sizes = {r.chain_id: (r.records, r.chain_valid) for r in ledger.verify(book, "key").collect()}
-    assert sizes == {"m/0/0": (10, True), "m/0/1": (10, True), "m/0/2": (5, True)}
-    assert ledger.missing_parts(book).count() == 0
-    assert ledger.missing_parts(book.where("chain_id <> 'm/0/1'")).first().present == 2
+        [("m", "evt", i * MINUTE, f"a{i:02d}", "inv", "monitor") for i in range(60)],
+        "merchant_id string, event_type string, ts_us long, audit_id string, investigation_id string, policy_result string",
+    )
+    old, new = (ledger.chain(ledger.entries(r, lanes=4), "key").toPandas().set_index("id") for r in (rows.where("audit_id <> 'a05'"), rows))
+    changed = {c for c in new.chain_id.unique() if list(new[new.chain_id == c].integrity_hash) != list(old[old.chain_id == c].integrity_hash)}
+    assert len(changed) == 1

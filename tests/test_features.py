@@ -31,6 +31,28 @@ def test_edge_rows(payments):
     assert (got[[f"txn_count_{w}" for w in ("1m", "5m", "10m", "30m", "1h")]].diff(axis=1).iloc[:, 1:] >= 0).all().all()
 
 
+def test_any_method_counts(payments):
+    """Capitalised, unseen and very many methods, against counting each frame."""
+    import random
+
+    rng = random.Random(8)
+    names = ["Upi", "upi", "Card", "card", "crypto", "pay later", None] + [f"m{k}" for k in range(12)]
+    rows = payments([
+        (f"t{i:03d}", rng.choice(["a", "b"]), rng.choice([rng.randrange(0, 3000, 60), rng.uniform(0, 3000)]), {"payment_method": rng.choice(names)})
+        for i in range(300)
+    ])
+    got = features.method(rows).toPandas().set_index("transaction_id")
+    plain = rows.toPandas()
+    for row in plain.itertuples():
+        frame = plain[(plain.merchant_id == row.merchant_id) & (plain.ts_us <= row.ts_us) & (plain.ts_us >= row.ts_us - 600_000_000)]
+        counts = frame.payment_method.dropna().str.lower().value_counts()
+        shares = counts / counts.sum()
+        mine = got.loc[row.transaction_id]
+        assert mine.payment_method_entropy == pytest.approx(-(shares * shares.map(math.log)).sum() if len(shares) > 1 else 0, abs=1e-8)
+        assert mine.payment_method_spike == pytest.approx(shares.max() - 1 / len(shares) if len(shares) else 0, abs=1e-12)
+        assert mine.method_max_share == pytest.approx(shares.max() if len(shares) else 0, abs=1e-12)
+
+
 def test_sample_keeps_class_shares_and_split_is_ordered(random_payments):
     total = random_payments.groupBy("is_suspicious").count().toPandas().set_index("is_suspicious")["count"]
     picked = sampling.stratified_sample(random_payments, 0.25).groupBy("is_suspicious").count().toPandas()

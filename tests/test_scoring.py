@@ -3,7 +3,7 @@ import math
 import pytest
 
 from paywatch.functions import risk
-from paywatch.operators import evaluation, labels
+from paywatch.operators import evaluation
 
 
 def one(spark, schema, row, *expressions):
@@ -45,7 +45,18 @@ def test_curve_metrics(spark):
     assert got.pr_auc == pytest.approx(0.5 + 0.5 * (0.5 + 2 / 3) / 2, abs=1e-4)
 
 
-def test_scenarios(spark):
-    rows = spark.createDataFrame([(120, 900, 5, 0.15)], "normal_txn_count int, spike_txn_count int, spike_duration_minutes int, suspicious_ratio double")
-    got = labels.simulate(rows).first()
-    assert got.spike_ratio == 1.5 and got.new_device_ratio == pytest.approx(0.12) and got.risk_level == "low"
+def test_curve_of_close_scores(spark):
+    """The area uses the scores as they are, over many tiles as over one."""
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    scores = 1 - rng.integers(0, 3000, 6000) * 1e-9
+    labels_ = (rng.random(6000) < 0.2 + 0.5 * (scores > 1 - 1e-6)).astype(int)
+    rows = spark.createDataFrame([("m", int(y), float(s), 1) for y, s in zip(labels_, scores)], "model string, label int, score double, prediction int")
+    counts = evaluation.outcome_counts(rows)
+    order = np.argsort(-scores, kind="stable")
+    hits, last = np.cumsum(labels_[order]), np.append(np.flatnonzero(np.diff(scores[order])), 5999)
+    p, r = hits[last] / (last + 1), hits[last] / hits[-1]
+    want = sum((b - a) * (u + v) / 2 for a, b, u, v in zip([0, *r[:-1]], r, [1, *p[:-1]], p))
+    assert evaluation.pr_auc(counts).first().pr_auc == pytest.approx(want, abs=6e-5)
+    assert evaluation.pr_auc(counts, tiles=2).first().pr_auc == evaluation.pr_auc(counts).first().pr_auc
