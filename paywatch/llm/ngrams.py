@@ -245,6 +245,8 @@ def _joined(total, known):
 
 def weights(cells, times, rounds=ROUNDS):
     """Mixture weights (pair, word, uniform) of every bucket by expectation-maximisation."""
+    if not len(cells):
+        return np.tile([0.0, 0.0, 1.0], (BUCKETS, 1))
     of, first, second = cells // (REACH * REACH), grid_value(cells // REACH % REACH), grid_value(cells % REACH)
     out = np.full((BUCKETS, 3), 1 / 3)
     parts = np.stack([first, second, np.ones(len(cells))], 1)
