@@ -31,10 +31,12 @@ from paywatch.session import materialize
 
 SAMPLE = 20_000
 BRANCHES = 8
-LEAF_ROWS = 400
-RECALL = 0.97
+LEAF_ROWS = 1_500
+RECALL = 0.95
 CALIBRATE = 200
 BLOCK_ROWS = 2_000
+#: Results that a task holds before it passes some on.
+HELD_ROWS = 1_000_000
 K = 20
 
 
@@ -195,12 +197,55 @@ def _brute(asked, k):
     return run
 
 
-def _block(k):
-    def run(key, asked, rows):
-        if not len(asked) or not len(rows):
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
-        ids = asked["id"].to_numpy(np.int64)
-        return _frame(ids, _best(_packed(asked["vec"]), ids, _packed(rows["vec"]), rows["id"].to_numpy(np.int64), k))
+class Nearest:
+    """The k best (query, row, score) of each query so far."""
+
+    def __init__(self, k):
+        self.k, self.parts, self.rows = k, [], 0
+
+    def add(self, query, row, score):
+        self.parts.append((query, row, score))
+        self.rows += len(query)
+
+    def reduce(self):
+        query, row, score = (np.concatenate(x) for x in zip(*self.parts, strict=True))
+        order = np.lexsort((row, -score, query))
+        query, row, score = query[order], row[order], score[order]
+        top = np.arange(len(query)) - np.searchsorted(query, query) < self.k
+        self.parts = [(query[top], row[top], score[top])]
+        self.rows = int(top.sum())
+
+    def frame(self):
+        self.reduce()
+        query, row, score = self.parts[0]
+        return pd.DataFrame({"query_id": query, "vec_id": row, "score": score})
+
+
+def _blocks(k):
+    """Compares each block's queries with its rows, which follow them, and gives each query's best of the whole task."""
+    def run(frames):
+        held, block, ids, points = Nearest(k), None, None, None
+        for frame in frames:
+            keys = frame[["leaf", "i", "j", "side"]].to_numpy()
+            cuts = np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1
+            for a, b in zip([0, *cuts], [*cuts, len(keys)], strict=True):
+                if a == b:
+                    continue
+                own, vec = frame["id"].to_numpy(np.int64)[a:b], _packed(frame["vec"].iloc[a:b])
+                if tuple(keys[a, :3]) != block:
+                    block, ids, points = tuple(keys[a, :3]), own[:0], vec[:0]
+                if keys[a, 3] == 0:
+                    ids, points = np.concatenate([ids, own]), np.concatenate([points, vec])
+                elif len(ids):
+                    found = _best(points, ids, vec, own, k)
+                    held.add(ids[found[0]], found[1], found[2])
+                if held.rows > HELD_ROWS:
+                    held.reduce()
+                    if held.rows > HELD_ROWS // 2:
+                        yield held.frame()
+                        held = Nearest(k)
+        if held.parts:
+            yield held.frame()
 
     return run
 
@@ -281,9 +326,10 @@ class Index:
         plan = materialize(asking.join(held, "leaf"), "ann-plan")
         numbers = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), F.col(c) - 1))
         own = lambda c: F.pmod(F.xxhash64("id", "vec"), F.col(c))
-        asked = visits.join(plan, "leaf").select("leaf", "id", "vec", own("query_blocks").alias("i"), numbers("row_blocks").alias("j"))
-        rows = self.table.join(plan, "leaf").select("leaf", "id", "vec", own("row_blocks").alias("j"), numbers("query_blocks").alias("i"))
-        found = asked.groupBy("leaf", "i", "j").cogroup(rows.groupBy("leaf", "i", "j")).applyInPandas(_block(k), FOUND)
+        asked = visits.join(plan, "leaf").select("leaf", "id", "vec", own("query_blocks").alias("i"), numbers("row_blocks").alias("j"), F.lit(0).alias("side"))
+        rows = self.table.join(plan, "leaf").select("leaf", "id", "vec", numbers("query_blocks").alias("i"), own("row_blocks").alias("j"), F.lit(1).alias("side"))
+        together = asked.unionByName(rows).repartition("leaf", "i", "j").sortWithinPartitions("leaf", "i", "j", "side")
+        found = together.mapInPandas(_blocks(k), FOUND)
         best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
         return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
