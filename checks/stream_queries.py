@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from paywatch import fixed
 from paywatch.operators import alerts as alert_ops
-from paywatch.operators import baselines
+from paywatch.operators import baselines, sampling
 from paywatch.plans import scoring
 from paywatch.session import materialize, new_path, use_utc
 from paywatch.sources import streams, tables
@@ -129,14 +129,23 @@ def stream_dedup(spark, d):
     return appended(spark, windows.distinct_events(both).drop("timestamp"), "distinct")
 
 
-@check("stream_late", sql("select (select count(*) from p) as counted, 0::bigint as late", DENSE))
+LATE = ("late as (select count(*) as late from (select t, row_number() over (order by t, transaction_id) as r, count(*) over () as n, "
+        "max(t) over () as newest from p) where r <= n // 10 and t < newest - 600000000)")
+
+
+@check("stream_late", sql("select (select count(*) from p) as counted, (select late from late) as late", DENSE, LATE))
 def stream_late(spark, d):
-    """Rows counted into minutes, and rows dropped as late: none, as the table comes in one batch."""
-    path = new_path(spark, "late")
-    query = sinks.drain(windows.minute_rates(windows.watermarked(event_stream(spark, d))), path, "update")
-    schema = "merchant_id string, minute bigint, rate bigint"
-    rows = sinks.newest(sinks.stored(spark, os.path.join(path, "data"), schema), ["merchant_id", "minute"])
-    return rows.agg(F.expr("sum(rate) as counted")).withColumn("late", F.lit(jobs.late_rows(query)).cast("bigint"))
+    """Rows kept once, and rows dropped as late: the first tenth of the payments comes again after the rest."""
+    path, source = new_path(spark, "late"), new_path(spark, "late-source")
+    rows = dense(spark, d)
+    place = sampling.global_rank(rows, "place", "n")
+    rows.write.parquet(source)
+    stream = spark.readStream.schema(rows.schema).parquet(source)
+    sinks.drain(windows.distinct_events(windows.watermarked(stream)), path)
+    place.where("place <= n div 10").select(*rows.columns).write.mode("append").parquet(source)
+    query = sinks.drain(windows.distinct_events(windows.watermarked(stream)), path)
+    kept = spark.read.parquet(os.path.join(path, "data"))
+    return kept.agg(F.expr("count(1) as counted")).withColumn("late", F.lit(jobs.late_rows(query)).cast("bigint"))
 
 
 @check("stream_score", scored_sql("select transaction_id, anomaly_score, spike_ratio, overall_risk, risk_level from scored"))
@@ -148,6 +157,22 @@ def stream_score(spark, d):
     return rows.select("transaction_id", "anomaly_score", "spike_ratio", "overall_risk", "risk_level")
 
 
+@check("stream_alerts", alerts_sql(
+    "select alert_id, merchant_id, round(risk_score, 4) as risk_score, risk_level, created_us as ts_us from alerts"))
+def stream_alerts(spark, d):
+    """Payment stream to alert messages in one job: two deliveries of half the table each, the first half sent again."""
+    path, source = new_path(spark, "stream-alerts"), new_path(spark, "stream-payments")
+    rows, history = dense(spark, d), learned(spark, d)
+    middle = rows.agg(F.expr("min(ts_us) + (max(ts_us) - min(ts_us)) div 2 as m")).first()["m"]
+    rows.where(F.col("ts_us") < middle).write.parquet(source)
+    stream = spark.readStream.schema(rows.schema).parquet(source)
+    jobs.run_scoring(stream, path, history, TEST_LEVELS)
+    rows.where(F.expr(f"ts_us >= {middle} or ts_us >= {middle} - 1800000000")).write.mode("append").parquet(source)
+    jobs.run_scoring(stream, path, history, TEST_LEVELS)
+    messages = streams.folder_text(spark, os.path.join(path, "data", "messages"))
+    return streams.decode_alerts(messages).select("alert_id", "merchant_id", F.round("risk_score", 4).alias("risk_score"), "risk_level", "ts_us")
+
+
 @check("snk_scored", scored_sql(
     "select transaction_id, round(amount, 6) as amount, round(velocity_ratio, 6) as velocity_ratio, risk_level from scored"))
 def snk_scored(spark, d):

@@ -1,16 +1,19 @@
 """All alerts to evidence, confidence, recommendation, policy, gate and audit rows in one job."""
 
 from paywatch.operators import evidence, ledger, policy, profiles
+from paywatch.session import materialize
 
 
 def inputs(payments, merchants, alerts, means):
-    """Per-merchant results every alert draws on."""
+    """Per-merchant results every alert draws on: of merchants with alerts only, each written once as several steps read it."""
+    alerted = alerts.select("merchant_id").distinct()
+    payments = payments.join(alerted, "merchant_id", "left_semi")
     return {
         "merchants": merchants,
-        "activity": profiles.recent_activity(payments, merchants),
-        "devices": profiles.device_summary(payments),
+        "activity": materialize(profiles.recent_activity(payments, merchants), "activity"),
+        "devices": materialize(profiles.device_summary(payments), "devices"),
         "availability": merchants.selectExpr("id as merchant_id", "is_active as available"),
-        "found": evidence.concentrations(payments),
+        "found": materialize(evidence.concentrations(payments), "concentrations"),
         "driven": evidence.alert_drivers(alerts, means),
     }
 

@@ -85,6 +85,23 @@ def decode_audits(messages):
     return decode(messages, AUDIT_SCHEMA, AUDIT_REQUIRED)
 
 
+def folder_text(spark, path):
+    """Messages that a job has written, as a table of texts."""
+    return spark.read.option("recursiveFileLookup", "true").text(path)
+
+
+ALERT_SCHEMA = (
+    "event_type string, alert_id string, merchant_id string, alert_type string, risk_score double, anomaly_score double,"
+    " spike_ratio double, risk_level string, summary string, features_snapshot map<string,double>, timestamp string, _broken string"
+)
+
+
+def decode_alerts(messages):
+    """Alert messages back as rows."""
+    good = decode(messages, ALERT_SCHEMA, ["alert_id", "merchant_id", "event_time"]).where("valid")
+    return good.selectExpr("*", "unix_micros(event_time) as ts_us")
+
+
 def good_payments(decoded):
     return decoded.where("valid").selectExpr(
         "transaction_id", "merchant_id", "event_time as timestamp", "unix_micros(event_time) as ts_us", "amount",

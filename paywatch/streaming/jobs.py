@@ -7,18 +7,21 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
 
 from paywatch import fixed
-from paywatch.operators import baselines, features, profiles
+from paywatch.operators import alerts as alert_ops
+from paywatch.operators import baselines, features, profiles, sampling
 from paywatch.plans import scoring
+from paywatch.session import materialize
 from paywatch.sources import streams
 from paywatch.streaming import sinks
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 PROVIDER_KEY = "spark.sql.streaming.stateStore.providerClass"
 LOOK_BACK_US = fixed.HOUR_US + fixed.MINUTE_US
+HOUR = "event_hour"
 
 
 class Suppress(StatefulProcessor):
-    """Remembers each merchant's last kept alert time; state expires when it can no longer suppress anything."""
+    """Remembers each merchant's last kept alert time: one number for each merchant that ever had a candidate."""
 
     def __init__(self, window_us):
         self.window_us = window_us
@@ -28,15 +31,20 @@ class Suppress(StatefulProcessor):
 
     def handleInputRows(self, key, rows, timerValues):
         last = self.last.get()[0] if self.last.exists() else None
-        kept = []
-        for pdf in sorted((p for p in rows if len(p)), key=lambda p: int(p["ts_us"].min())):
-            for ts, txn in sorted(zip(pdf["ts_us"], pdf["transaction_id"])):
-                if last is None or ts > last + self.window_us:
-                    kept.append((key[0], int(ts), txn))
-                    last = int(ts)
+        # A key's rows come in several chunks in any order: only together can they be put into time order.
+        parts = [p[["ts_us", "transaction_id"]] for p in rows if len(p)]
+        if not parts:
+            return
+        found = pd.concat(parts).sort_values(["ts_us", "transaction_id"], ignore_index=True)
+        times, kept, at = found["ts_us"].to_numpy(), [], 0
+        if last is not None:
+            at = int(times.searchsorted(last + self.window_us, side="right"))
+        while at < len(times):
+            kept.append(at)
+            at = int(times.searchsorted(times[at] + self.window_us, side="right"))
         if kept:
-            self.last.update((last,))
-            yield pd.DataFrame(kept, columns=["merchant_id", "ts_us", "transaction_id"])
+            self.last.update((int(times[kept[-1]]),))
+            yield found.iloc[kept].assign(merchant_id=key[0])[["merchant_id", "ts_us", "transaction_id"]]
 
     def close(self):
         pass
@@ -52,35 +60,74 @@ def suppress(candidates, window_us=fixed.DEDUP_WINDOW_US):
     )
 
 
-def score_batch(batch, batch_id, path, history):
-    """Scores one micro-batch with the batch feature definitions.
+def stored_since(spark, folder, oldest, batch_id):
+    """What earlier batches stored with event times from ``oldest`` on, a literal, so that older hours are skipped."""
+    hour = oldest // fixed.HOUR_US
+    rows = spark.read.option("basePath", folder).parquet(folder)
+    return rows.where((F.col(HOUR) >= hour) & (F.col("ts_us") >= oldest) & (F.col(sinks.BATCH) < batch_id)).drop(HOUR, sinks.BATCH)
 
-    The frames need the hour before the batch: those payments are read back from what earlier batches stored, so
-    the stream and the batch job agree by construction and nothing is kept in executor memory.
+
+def store(rows, folder, batch_id):
+    """Rows by event hour and batch; a repeated batch replaces its own folders."""
+    marked = rows.withColumn(HOUR, F.expr(f"ts_us div {fixed.HOUR_US}L")).withColumn(sinks.BATCH, F.lit(batch_id).cast("long"))
+    marked.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(HOUR, sinks.BATCH).parquet(folder)
+
+
+def first_deliveries(batch, folder, batch_id, oldest):
+    """One row per payment that no earlier batch has brought. A repeat has the event time of the first delivery."""
+    once = sampling.dedup_events(batch).select(*batch.columns)
+    if batch_id == 0:
+        return once
+    known = stored_since(batch.sparkSession, folder, oldest, batch_id).select("transaction_id")
+    return once.join(known, "transaction_id", "left_anti").select(*batch.columns)
+
+
+def score_batch(batch, batch_id, path, history, levels=None):
+    """Scores one micro-batch with the batch feature definitions; with ``levels`` also raises its alerts.
+
+    A payment delivered again is passed over. The frames need the hour before the batch: those payments are read back
+    from what earlier batches stored, so the stream and the batch job agree by construction and nothing is kept in
+    executor memory. A payment that comes late does not change scores already given.
     """
     spark = batch.sparkSession
-    batch = batch.persist()
-    try:
-        rows, folder = batch, os.path.join(path, "payments")
-        oldest = batch.agg(F.min("ts_us")).first()[0]
-        if batch_id > 0 and oldest is not None:
-            # A literal bound, so that files and row groups older than the frames are skipped.
-            stored = spark.read.option("basePath", folder).parquet(folder)
-            earlier = stored.where((F.col("ts_us") >= oldest - LOOK_BACK_US) & (F.col(sinks.BATCH) < batch_id))
-            rows = rows.unionByName(earlier.drop(sinks.BATCH))
-        sinks.write_batch(batch, folder, batch_id)
-        inputs = features.score_inputs(rows, history)
-        fresh = batch.select("transaction_id")
-        scored = scoring.assess(inputs.join(fresh, "transaction_id", "left_semi"))
-        sinks.write_scored(scored, os.path.join(path, "scored"), batch_id)
-    finally:
-        batch.unpersist()
-
-
-def run_scoring(stream, path, history):
-    """Drains a payment stream into the stored transactions, features and assessments."""
+    folder, alerts_path = os.path.join(path, "payments"), os.path.join(path, "alerts")
+    oldest = batch.agg(F.min("ts_us")).first()[0]
+    if oldest is None:
+        return
+    fresh = materialize(first_deliveries(batch, folder, batch_id, oldest), "fresh")
+    rows = fresh
+    if batch_id > 0:
+        rows = fresh.unionByName(stored_since(spark, folder, oldest - LOOK_BACK_US, batch_id))
+    inputs = features.score_inputs(rows, history)
+    scored = scoring.assess(inputs.join(fresh.select("transaction_id"), "transaction_id", "left_semi"))
+    if levels:
+        scored = materialize(scored, "scored")
+        raise_alerts(scored, alerts_path, os.path.join(path, "messages"), batch_id, oldest, levels)
+    sinks.write_scored(scored, os.path.join(path, "scored"), batch_id)
+    store(fresh, folder, batch_id)
+
+
+def raise_alerts(scored, alerts_path, messages_path, batch_id, oldest, levels, window_us=fixed.DEDUP_WINDOW_US):
+    """Suppresses a batch's candidates by the alerts of earlier batches and among themselves, stores and sends the rest.
+
+    Only alerts of the window before the batch can suppress, so older ones are not read. A merchant's candidates are
+    taken in time order whatever their number: the batch operator for suppression does the work.
+    """
+    found = alert_ops.candidates(scored, levels)
+    if batch_id > 0:
+        before = stored_since(scored.sparkSession, alerts_path, oldest - window_us, batch_id)
+        last = before.groupBy("merchant_id").agg(F.max("ts_us").alias("last_us"))
+        found = found.join(last, "merchant_id", "left").where(f"last_us is null or ts_us > last_us + {window_us}").drop("last_us")
+    raised = materialize(alert_ops.build(alert_ops.dedup(materialize(found, "candidates"))).withColumn("ts_us", F.col("created_us")), "raised")
+    store(raised, alerts_path, batch_id)
+    streams.alert_messages(raised).select("value").write.mode("overwrite").text(os.path.join(messages_path, f"{sinks.BATCH}={batch_id}"))
+
+
+def run_scoring(stream, path, history, levels=None):
+    """Drains a payment stream into the stored transactions, features and assessments, and with ``levels`` into alerts
+    and alert messages."""
     def write(batch, folder, batch_id):
-        score_batch(batch, batch_id, folder, history)
+        score_batch(batch, batch_id, folder, history, levels)
 
     return sinks.drain(stream, path, write=write)
 

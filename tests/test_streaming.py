@@ -38,6 +38,47 @@ def test_suppression_state_survives_batches(spark, tmp_path):
     assert sorted(r.transaction_id for r in kept) == [f"t{s:02d}" for s in range(0, 40, 6)]
 
 
+def test_suppression_of_many_candidates_in_small_chunks(spark, tmp_path):
+    base = 1704067200000000
+    rows = spark.createDataFrame(
+        [("m", base + (i * 7919 % 600) * 10_000_000, f"t{i:03d}") for i in range(600)], "merchant_id string, ts_us long, transaction_id string")
+    spark.conf.set(jobs.PROVIDER_KEY, jobs.ROCKSDB)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50")
+    try:
+        rows.coalesce(1).write.parquet(str(tmp_path / "in"))
+        sinks.drain(jobs.suppress(spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in"))), str(tmp_path / "out"))
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    kept = sorted(r.ts_us for r in spark.read.parquet(str(tmp_path / "out" / "data")).collect())
+    want, last = [], None
+    for t in sorted(base + i * 10_000_000 for i in range(600)):
+        if last is None or t > last + 300_000_000:
+            want.append(t)
+            last = t
+    assert kept == want
+
+
+def test_redelivered_and_unordered_payments(spark, random_payments, tmp_path):
+    """Repeats in the same and in later batches are scored once, and alerts equal those of the table."""
+    from paywatch.operators import alerts
+
+    history = baselines.learn(random_payments)
+    levels = ("low", "medium", "high", "critical")
+    start = 1704067200000000
+    source, out = str(tmp_path / "in"), str(tmp_path / "out")
+    for low, high in ((0, 3000), (2000, 6000), (0, 9001)):
+        part = random_payments.where(f"ts_us >= {start + low * 10**6} and ts_us < {start + high * 10**6}")
+        part.unionByName(part.limit(20)).repartition(3).write.mode("append").parquet(source)
+        stream = spark.readStream.schema(random_payments.schema).parquet(source)
+        jobs.run_scoring(stream, out, history, levels)
+    scores = spark.read.parquet(os.path.join(out, "data", "scored", "assessments"))
+    want = scoring.score_payments(random_payments, history)
+    names = ["transaction_id", "anomaly_score", "spike_ratio", "overall_risk", "risk_level"]
+    assert sorted(map(tuple, scores.select(*names).collect())) == sorted(map(tuple, want.select(*names).collect()))
+    sent = streams.decode_alerts(streams.folder_text(spark, os.path.join(out, "data", "messages"))).select("alert_id").collect()
+    assert sorted(r.alert_id for r in sent) == sorted(r.alert_id for r in alerts.from_scores(want, levels).collect())
+
+
 def test_late_rows_are_counted_and_repeats_dropped(spark, payments, tmp_path):
     rows = payments([("a", "m", 0), ("b", "m", 7200), ("c", "m", 7300), ("a2", "m", 60)])
     for i, name in enumerate(("a", "b", "c", "a2")):
