@@ -30,7 +30,7 @@ from paywatch.llm import tokens
 from paywatch.llm.common import shuffle_partitions
 from paywatch.session import materialize
 
-BLOCK_BYTES = 12 << 20
+BLOCK_BYTES = 6 << 20
 BUCKETS = 48
 #: Steps of an octave, and steps of the grid with ratio 1 in the middle and 0 at the start.
 GRID, REACH = 4, 512
