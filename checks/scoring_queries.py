@@ -6,12 +6,13 @@ from paywatch import fixed
 from paywatch.functions import risk
 from paywatch.operators import baselines, evaluation, evidence, features, labels, model, series
 from paywatch.operators.sampling import time_split
+from paywatch.plans import scoring
 from paywatch.session import materialize
 from paywatch.sources.tables import read_table
 
 from checks.base_sql import DENSE, FEATURE_CTES, scored_sql, sql
 from checks.feature_queries import SERIES, SMOOTH
-from checks.registry import check, dense, r6, rounded, scored, stored_scores
+from checks.registry import check, dense, learned, r6, rounded, scored, stored_scores
 
 SCORES = "anomaly_score spike_ratio z_score"
 
@@ -124,7 +125,7 @@ fit as (
 zraw as (select f.*, ({KEYS}) / 5 as raw from features f, fit),
 zscore as (
   select transaction_id, t, is_suspicious::int as label,
-    least(greatest(raw / ((select max(raw) from zraw) + 1e-8), 0), 1) as score from zraw
+    least(greatest(raw / ((select max(raw) from zraw join cutoff using (merchant_id) where t <= cutoff_us) + 1e-8), 0), 1) as score from zraw
 ),
 combined as (
   select z.transaction_id, z.t, z.label, least(greatest(0.6 * h.score + 0.4 * z.score, 0), 1) as score
@@ -282,25 +283,31 @@ def label_patterns(spark, d):
 
 # Boosted trees: no SQL text can repeat the training, so these are checked by rows here and by quality in the tests.
 
-def split_matrix(spark, d):
-    """Cleaned features with their split, written once: boosting reads them in every round."""
-    rows = model.matrix(time_split(features.extract(dense(spark, d))))
-    return materialize(rows, "matrix")
+_FITTED = {}
 
 
 def fitted(spark, d):
-    rows = split_matrix(spark, d)
-    train = rows.where("split = 'train'").drop("split")
-    check_rows = rows.where("split = 'validation'").drop("split")
-    return model.train(train, check_rows, trees=20, depth=4), rows
+    """The trained model and the cleaned features with their split. Training takes minutes, so a session fits a table once."""
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _FITTED:
+        payments = dense(spark, d)
+        rows = materialize(model.matrix(time_split(features.extract(payments, learned(spark, d)))), "matrix")
+        train, check_rows = (rows.where(f"split = '{s}'").drop("split") for s in ("train", "validation"))
+        _FITTED[key] = model.train(train, check_rows), rows
+    return _FITTED[key]
 
 
 @check("gbt_train")
 def gbt_train(spark, d):
-    """Metrics of the trained model on the held-out last part."""
+    """Four models on the held-out last part: threshold, z-score (fitted on the first part), trees, and trees with the z-score."""
     trained, rows = fitted(spark, d)
-    test = model.score(trained, rows.where("split = 'test'"))
-    return evaluation.compare(test.selectExpr("'gbt' as model", "int(label) as label", "score", "prediction"))
+    test = evaluation.zscore_model(model.score(trained, rows.where("split = 'test'")).withColumnsRenamed({"score": "gbt", "prediction": "gbt_hit"}),
+                                   rows.where("split = 'train'")).withColumnsRenamed({"score": "zscore", "prediction": "z_hit"})
+    test = risk.threshold_model(test).withColumnsRenamed({"score": "threshold", "prediction": "t_hit"})
+    test = risk.combined_model(test, "gbt", "zscore").withColumnsRenamed({"score": "combined", "prediction": "c_hit"})
+    return evaluation.compare(test.selectExpr(
+        "int(label) as label", "stack(4, 'threshold', threshold, t_hit, 'zscore', zscore, z_hit, 'gbt', gbt, gbt_hit, 'combined', combined, c_hit)"
+        " as (model, score, prediction)"))
 
 
 @check("gbt_score")
@@ -309,6 +316,13 @@ def gbt_score(spark, d):
     return model.score(trained, rows).select("transaction_id", "score", "risk_score", "prediction")
 
 
+@check("score_with_model")
+def score_with_model(spark, d):
+    """The score path with the trained model: its probability, the aggregate and the level."""
+    rows = scoring.score_payments(dense(spark, d), learned(spark, d), fitted(spark, d)[0])
+    return rows.select("transaction_id", "ml_score", "anomaly_score", "spike_ratio", "overall_risk", "risk_level")
+
+
 @check("feature_importance")
 def feature_importance(spark, d):
     return model.importances(spark, fitted(spark, d)[0])

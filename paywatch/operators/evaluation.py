@@ -18,15 +18,14 @@ def feature_moments(features, names=tuple(fixed.FEATURES)):
 
 
 def zscore_model(features, fitted, names=tuple(fixed.ZSCORE_FEATURES)):
-    """Mean absolute z of the key features over its maximum; moments come from ``fitted`` rows (two one-row tables)."""
+    """Mean absolute z of the key features over its maximum; moments and maximum come from ``fitted`` rows (one-row tables)."""
     moments = fitted.agg(
         *[F.expr(f"avg({n}) as m_{n}") for n in names],
         *[F.expr(f"coalesce(nullif(stddev_pop({n}), 0), 1) as s_{n}") for n in names],
     )
-    raw = features.crossJoin(F.broadcast(moments)).selectExpr(
-        *features.columns, f"({' + '.join(f'abs(({n} - m_{n}) / s_{n})' for n in names)}) / {float(len(names))}D as raw"
-    )
-    top = raw.agg(F.expr("max(raw) as top"))
+    mean_z = f"({' + '.join(f'abs(({n} - m_{n}) / s_{n})' for n in names)}) / {float(len(names))}D as raw"
+    raw = features.crossJoin(F.broadcast(moments)).selectExpr(*features.columns, mean_z)
+    top = fitted.crossJoin(F.broadcast(moments)).selectExpr(mean_z).agg(F.expr("max(raw) as top"))
     return raw.crossJoin(F.broadcast(top)).selectExpr(
         *features.columns, f"{risk.clamp('raw / (top + 1e-8D)')} as score"
     ).selectExpr("*", f"int(score > {fixed.ZSCORE_CUT}D) as prediction")

@@ -2,7 +2,7 @@
 
 from paywatch import fixed
 from paywatch.functions import risk
-from paywatch.operators import features
+from paywatch.operators import baselines, features, model
 
 
 def assess(rows, ml_score=None):
@@ -12,5 +12,11 @@ def assess(rows, ml_score=None):
     return risk.aggregate(scored).selectExpr("*", f"'{fixed.MODEL_VERSION}' as model_version")
 
 
-def score_payments(payments, history=None):
-    return assess(features.score_inputs(payments, history))
+def score_payments(payments, history=None, trained=None):
+    """Scores of every payment; with a ``trained`` model its probability is the model score, from all 25 features."""
+    if trained is None:
+        return assess(features.score_inputs(payments, history))
+    history = baselines.learn(payments) if history is None else history
+    judged = model.score(trained, model.matrix(features.extract(payments, history))).selectExpr("transaction_id as _id", "score as _ml")
+    inputs = features.score_inputs(payments, history)
+    return assess(inputs.join(judged, inputs["transaction_id"] == judged["_id"]), "_ml").drop("_id", "_ml")

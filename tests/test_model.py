@@ -36,3 +36,18 @@ def test_attributions_add_up_to_the_model(trained, spark):
     assert np.allclose(sums + got.base_value, got.margin)
     top = model.importances(spark, fitted).collect()
     assert len(top) <= 10 and set(r.feature for r in top) <= set(fixed.FEATURES)
+
+
+def test_model_score_enters_the_aggregate(trained, spark):
+    from paywatch.operators import baselines
+    from paywatch.plans import scoring
+
+    fitted, rows = trained
+    payments = tables.payments(spark, "/root/testdata/sf0.001", "dense")
+    history = baselines.learn(payments)
+    got = scoring.score_payments(payments, history, fitted).toPandas().set_index("transaction_id")
+    plain = scoring.score_payments(payments, history).toPandas().set_index("transaction_id").loc[got.index]
+    want = model.score(fitted, rows).toPandas().set_index("transaction_id").loc[got.index]
+    assert np.allclose(got.ml_score, want.score) and np.allclose(got.anomaly_score, plain.anomaly_score)
+    mixed = 0.5 * got.ml_score + 0.3 * got.anomaly_score + 0.2 * np.minimum(got.spike_ratio / 20, 1)
+    assert np.allclose(got.overall_risk, np.clip(mixed, 0, 1), atol=1e-4) and not np.allclose(got.overall_risk, plain.overall_risk)
