@@ -21,9 +21,9 @@ def main():
         "--conf spark.ui.showConsoleProgress=false --conf spark.ui.enabled=false --driver-memory 16g pyspark-shell",
     )
     from checks import QUERIES
-    from paywatch.session import build
+    from paywatch.session import build, local_shared
 
-    spark = build("bench", f"local[{cpus}]", shuffle_partitions=cpus)
+    spark = local_shared(build("bench", f"local[{cpus}]", shuffle_partitions=cpus))
     spark.sparkContext.setLogLevel("ERROR")
     QUERIES["agg_class_ratio"](spark, sf_dir).collect()
     rows = spark.read.parquet(f"{sf_dir}/events.parquet").count()

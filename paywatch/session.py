@@ -1,5 +1,6 @@
 """Session settings and the shared folder for checkpoints and written tables."""
 
+import contextlib
 import os
 import tempfile
 import uuid
@@ -36,19 +37,44 @@ def use_utc(spark):
 
 
 def shared_dir(spark):
-    """The folder every executor can reach. A cluster names it; only a bare local session gets its own."""
+    """The folder every executor can reach, as the session names it."""
     folder = spark.conf.get(CHECKPOINT_KEY, None) or spark.sparkContext.getCheckpointDir()
     if not folder:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError(f"set {CHECKPOINT_KEY} to a folder shared by all executors")
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="paywatch-"))
-        folder = spark.sparkContext.getCheckpointDir()
+        raise ValueError(f"set {CHECKPOINT_KEY} to a folder shared by all executors")
     return folder
 
 
+def local_shared(spark):
+    """Gives a bare local session a folder of its own, as tests and the driver contract need; a cluster must name one."""
+    local = spark.sparkContext.master.startswith("local") and not spark.sparkContext.master.startswith("local-cluster")
+    if local and not (spark.conf.get(CHECKPOINT_KEY, None) or spark.sparkContext.getCheckpointDir()):
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="paywatch-"))
+    return spark
+
+
+_OPEN = []
+
+
+@contextlib.contextmanager
+def scratch(spark):
+    """Deletes, at its end, what was written to the shared folder meanwhile: wrap a job that writes its result elsewhere."""
+    written = []
+    _OPEN.append(written)
+    try:
+        yield
+    finally:
+        _OPEN.remove(written)
+        for path in written:
+            place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def new_path(spark, name):
     """A fresh path in the shared folder."""
-    return os.path.join(shared_dir(spark), f"{name}-{uuid.uuid4().hex[:12]}")
+    path = os.path.join(shared_dir(spark), f"{name}-{uuid.uuid4().hex[:12]}")
+    for written in _OPEN:
+        written.append(path)
+    return path
 
 
 def materialize(df, name):

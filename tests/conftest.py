@@ -14,9 +14,9 @@ START = 1704067200000000
 
 @pytest.fixture(scope="session")
 def spark():
-    from paywatch.session import build
+    from paywatch.session import build, local_shared
 
-    session = build("tests", "local[8]", shuffle_partitions=8)
+    session = local_shared(build("tests", "local[8]", shuffle_partitions=8))
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()

@@ -33,3 +33,15 @@ def test_gateway_rules(spark):
     assert normalize.refunds(parsed).first().amount == 0.5 and normalize.orders(parsed).first().amount == 0.5
     assert normalize.disputes(parsed).first().reason == "fraudulent"
     assert [r.transaction_id for r in normalize.payment_alerts(normalize.payments(parsed)).collect()] == ["p3"]
+
+
+def test_scratch_leaves_nothing(spark):
+    import os
+
+    from paywatch.session import materialize, scratch
+
+    with scratch(spark):
+        kept = materialize(spark.range(3), "probe")
+        path = kept.inputFiles()[0].removeprefix("file:").rsplit("/", 1)[0]
+        assert os.path.isdir(path.replace("//", "/"))
+    assert not os.path.isdir(path.replace("//", "/"))
