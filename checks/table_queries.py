@@ -76,9 +76,9 @@ def exp_ledger_json(spark, d):
 @check("src_table", sql(
     "select transaction_id, round(amount, 6) as amount from p where merchant_id = 'merchant_003' and status = 'failed'", EVENT))
 def src_table(spark, d):
-    """A stored transaction table read by predicate; partitions and row groups outside it are skipped."""
+    """A transaction table stored by merchant and read by predicate; other merchants' folders are skipped."""
     path = new_path(spark, "transactions")
-    event(spark, d).write.parquet(path)
+    event(spark, d).write.partitionBy("merchant_id").parquet(path)
     found = spark.read.parquet(path).where("merchant_id = 'merchant_003' and status = 'failed'")
     return found.selectExpr("transaction_id", "round(amount, 6) as amount")
 
@@ -102,14 +102,23 @@ def snk_metrics(spark, d):
 PARSED = "transaction_id, merchant_id, ts_us, round(amount, 6) as amount, payment_method, device_id, status"
 
 
+def sent(spark, rows, to_messages, name):
+    """A stored table streamed through a message sink until all is sent; the texts that arrived."""
+    source, path = new_path(spark, name), new_path(spark, f"{name}-messages")
+    rows.write.parquet(source)
+    stream = spark.readStream.schema(rows.schema).parquet(source)
+    sink = streams.folder_sink(to_messages(stream), path, new_path(spark, f"{name}-checkpoint"))
+    sink.trigger(availableNow=True).start().awaitTermination()
+    return spark.read.text(path)
+
+
 @check("snk_stream_payments", sql(
     "select merchant_id as key, transaction_id, t as ts_us, round(amount, 6) as amount, payment_method, device_id, status from p", EVENT))
 def snk_stream_payments(spark, d):
-    """Payment messages, decoded again."""
-    messages = streams.payment_messages(event(spark, d))
-    back = messages.withColumn("_m", F.from_json("value", streams.PAYMENT_SCHEMA)).selectExpr("key", "_m.*")
+    """Payment messages sent as a stream and decoded again."""
+    back = streams.decode_payments(sent(spark, event(spark, d), streams.payment_messages, "payments")).where("valid")
     return back.selectExpr(
-        "key", "transaction_id", "unix_micros(cast(timestamp as timestamp)) as ts_us", "round(amount, 6) as amount",
+        "merchant_id as key", "transaction_id", "unix_micros(event_time) as ts_us", "round(amount, 6) as amount",
         "payment_method", "device_id", "status",
     )
 
@@ -118,19 +127,17 @@ def snk_stream_payments(spark, d):
     "select merchant_id as key, alert_id, risk_score, risk_level, round(velocity_ratio, 6) as velocity_ratio, created_us as ts_us, "
     "'fraud.alert.created' as event_type from alerts"))
 def snk_stream_alerts(spark, d):
-    schema = ("event_type string, alert_id string, risk_score double, risk_level string,"
-              " features_snapshot map<string,double>, timestamp string")
-    messages = streams.alert_messages(alerts(spark, d))
-    return messages.withColumn("_m", F.from_json("value", schema)).selectExpr("key", "_m.*").selectExpr(
-        "key", "alert_id", "risk_score", "risk_level", "round(features_snapshot['velocity_ratio'], 6) as velocity_ratio",
-        "unix_micros(cast(timestamp as timestamp)) as ts_us", "event_type",
+    back = streams.decode_alerts(sent(spark, alerts(spark, d), streams.alert_messages, "alerts"))
+    return back.selectExpr(
+        "merchant_id as key", "alert_id", "risk_score", "risk_level", "round(features_snapshot['velocity_ratio'], 6) as velocity_ratio",
+        "ts_us", "event_type",
     )
 
 
 @check("snk_stream_audit", evidence_sql(
     "select investigation_id, alert_id, merchant_id, policy_result, human_approval_status, ts_us from audits", AUDITS))
 def snk_stream_audit(spark, d):
-    decoded = streams.decode_audits(streams.audit_messages(audits(spark, d)))
+    decoded = streams.decode_audits(sent(spark, audits(spark, d), streams.audit_messages, "audits"))
     return decoded.where("valid").selectExpr(
         "investigation_id", "alert_id", "merchant_id", "data['policy_result'] as policy_result",
         "data['human_approval_status'] as human_approval_status", "unix_micros(event_time) as ts_us",

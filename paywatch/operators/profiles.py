@@ -183,12 +183,24 @@ def class_ratio(payments):
     )
 
 
-def median_per_merchant(payments, tile_width=1000):
-    """Interpolated median amount; only the amounts near the middle are sorted."""
-    near = quantile_neighbours(
-        payments.where("amount is not null"), ["merchant_id"], "amount", 0.5, f"floor(amount / {tile_width})"
-    )
-    return near.selectExpr("merchant_id", "lo + part * (hi - lo) as median_amount")
+def median_per_merchant(payments, tiles=256):
+    """Interpolated median amount. Equal amounts are counted first; the distinct ones are cut into tiles by their own
+    quantiles, and only the one or two tiles that hold the middle are put in order."""
+    values = payments.where("amount is not null").groupBy("merchant_id", "amount").agg(F.expr("count(1) as n"))
+    shares = ", ".join(f"{i / tiles}D" for i in range(1, tiles))
+    cuts = values.groupBy("merchant_id").agg(F.expr(f"percentile_approx(amount, array({shares}), {20 * tiles}) as _cuts"))
+    tiled = values.join(cuts, "merchant_id").selectExpr("merchant_id", "amount", "n", "size(filter(_cuts, c -> c < amount)) as _tile")
+    earlier = "over (partition by merchant_id order by _tile rows between unbounded preceding and 1 preceding)"
+    middle = tiled.groupBy("merchant_id", "_tile").agg(F.expr("sum(n) as _n")).selectExpr(
+        "*", f"coalesce(sum(_n) {earlier}, 0) as _before", "(sum(_n) over (partition by merchant_id) - 1) div 2 + 1 as _lo",
+        "sum(_n) over (partition by merchant_id) div 2 + 1 as _hi",
+    ).where("_before < _hi and _before + _n >= _lo")
+    ranked = tiled.join(middle, ["merchant_id", "_tile"]).selectExpr(
+        "*", "_before + sum(n) over (partition by merchant_id, _tile order by amount) as _last"
+    )
+    return ranked.groupBy("merchant_id").agg(F.expr(
+        "(max(if(_last >= _lo and _last - n < _lo, amount, null)) + max(if(_last >= _hi and _last - n < _hi, amount, null))) / 2 as median_amount"
+    ))
 
 
 def alerts_24h(alerts, as_of):
