@@ -80,15 +80,9 @@ SLIDING = " union all ".join(
 
 @check("stream_velocity", sql(SLIDING, DENSE))
 def stream_velocity(spark, d):
-    """Sliding counts for the five frame lengths, one aggregate per length."""
-    results = []
-    for minutes in fixed.VELOCITY_WINDOWS.values():
-        counts = windows.velocity(windows.watermarked(event_stream(spark, d)), minutes)
-        results.append(updated(spark, counts, f"velocity-{minutes}", ["merchant_id", "minutes", "start_us"]))
-    out = results[0]
-    for more in results[1:]:
-        out = out.unionByName(more)
-    return out.selectExpr("merchant_id", "bigint(minutes) as minutes", "start_us", "txn_count")
+    """Sliding counts for the five frame lengths from one stream of minute counts."""
+    rates = windows.minute_rates(windows.watermarked(event_stream(spark, d)))
+    return windows.velocity(updated(spark, rates, "velocity", ["merchant_id", "minute"]), fixed.VELOCITY_WINDOWS.values())
 
 
 @check("stream_tumbling", sql("select merchant_id, t // 60000000 as minute, count(*) as rate from p group by 1, 2", DENSE))

@@ -16,20 +16,23 @@ def distinct_events(payments):
     return payments.dropDuplicatesWithinWatermark(["transaction_id"])
 
 
-def velocity(payments, minutes, slide="1 minute"):
-    """Sliding counts per merchant for one frame length."""
-    window = F.window("timestamp", f"{minutes} minutes", slide)
-    return payments.groupBy("merchant_id", window.alias("w")).agg(F.expr("count(1) as txn_count")).selectExpr(
-        "merchant_id", f"{minutes} as minutes", "unix_micros(w.start) as start_us", "txn_count"
-    )
-
-
 def minute_rates(payments):
     return payments.groupBy("merchant_id", F.window("timestamp", "1 minute").alias("w")).agg(
         F.expr("count(1) as rate")
     ).selectExpr("merchant_id", f"unix_micros(w.start) div {fixed.MINUTE_US}L as minute", "rate")
 
 
+def velocity(rates, lengths):
+    """Sliding counts per merchant for all frame lengths (minutes), one frame starting each minute, from ``minute_rates``:
+    the stream keeps one state per merchant and minute, and a frame is a sum over minutes."""
+    frames = rates.selectExpr(
+        "merchant_id", "minute", "rate", f"explode(array({', '.join(f'{int(m)}L' for m in lengths)})) as minutes"
+    ).selectExpr("merchant_id", "minutes", "rate", "explode(sequence(minute - minutes + 1, minute)) as start")
+    return frames.groupBy("merchant_id", "minutes", "start").agg(F.sum("rate").alias("txn_count")).selectExpr(
+        "merchant_id", "minutes", f"start * {fixed.MINUTE_US}L as start_us", "txn_count"
+    )
+
+
 def device_sessions(payments, gap="1 hour"):
     """Activity sessions per merchant, closed by ``gap`` of silence, with their exact number of distinct devices."""
     sessions = payments.groupBy("merchant_id", F.session_window("timestamp", gap).alias("s")).agg(
