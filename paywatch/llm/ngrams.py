@@ -5,7 +5,7 @@ alone, and the uniform one over all known words and one unknown. The weights dep
 each bucket of context frequency (powers of two) has its own. They are learned by expectation-maximisation on held-out
 counts: every training occurrence is judged by the counts of all others (its own is deleted), and the estimates of all
 occurrences enter, gathered as counts of (bucket, pair's to uniform estimate, word's to uniform estimate) on a grid of
-quarter octaves, whose size does not grow with the data.
+half octaves, whose size does not grow with the data.
 
 A text's words end with one end token; the first word's context is the end token as well. Counts never go to the driver
 or to all tasks. Texts are read in blocks of about ``block_bytes``; a block knows its words by block-wide numbers and
@@ -33,7 +33,7 @@ from paywatch.session import materialize
 BLOCK_BYTES = 6 << 20
 BUCKETS = 48
 #: Steps of an octave, and steps of the grid with ratio 1 in the middle and 0 at the start.
-GRID, REACH = 4, 512
+GRID, REACH = 2, 256
 ROUNDS = 100
 END = np.uint64(0x7F4A7C159E3779B9)
 NO_ID = -(1 << 63)
