@@ -32,8 +32,8 @@ def audit_rows(outcomes):
 def entries(audits, lanes=LANES):
     """Ledger entries with their chain: merchant, day and a lane told by the entry's id.
 
-    A chain can only be built in order, so its length is what one task must hold. The key depends on the entry alone:
-    a late entry changes its own chain only. More ``lanes`` shorten the chains of busy merchants.
+    A chain can only be built in order, by one task. The key depends on the entry alone: a late entry changes its own
+    chain only. More ``lanes`` shorten the chains of busy merchants.
     """
     return audits.selectExpr(
         f"concat_ws('/', coalesce(merchant_id, ''), string(ts_us div {fixed.DAY_US}L),"
@@ -58,24 +58,33 @@ def entry_id(chain_id, seq):
 
 
 def chain(rows, key):
-    """Links every chain: each hash covers the row and the hash before it, so a chain is built in order, chains apart."""
+    """Links every chain: each hash covers the row and the hash before it, so a chain is built in order, chains apart.
+
+    A task passes over its chains in order and keeps the last hash only.
+    """
     secret = key.encode("utf-8")
 
-    def link(pdf):
-        pdf = pdf.sort_values(["ts_us", "audit_id"]).reset_index(drop=True)
-        previous, ids, before, hashes = fixed.GENESIS_HASH, [], [], []
-        for i, row in enumerate(pdf.itertuples(index=False), start=1):
-            fields = [entry_id(row.chain_id, i), row.action, row.investigation_id, row.actor, row.timestamp, previous]
-            text = ":".join(MISSING if f is None or f != f else f for f in fields)
-            ids.append(fields[0])
-            before.append(previous)
-            previous = hmac.new(secret, text.encode("utf-8"), hashlib.sha256).hexdigest()
-            hashes.append(previous)
-        pdf = pdf.assign(seq=range(1, len(pdf) + 1), id=ids, previous_hash=before, integrity_hash=hashes)
-        return pdf[["chain_id", "seq", "id", "timestamp", "action", "investigation_id", "actor", "notes",
-                    "previous_hash", "integrity_hash"]]
-
-    return rows.groupBy("chain_id").applyInPandas(link, CHAIN_SCHEMA)
+    def link(frames):
+        current, previous, seq = None, None, 0
+        for pdf in frames:
+            places, ids, before, hashes = [], [], [], []
+            for row in pdf.itertuples(index=False):
+                if row.chain_id != current:
+                    current, previous, seq = row.chain_id, fixed.GENESIS_HASH, 0
+                seq += 1
+                fields = [entry_id(current, seq), row.action, row.investigation_id, row.actor, row.timestamp, previous]
+                text = ":".join(MISSING if f is None or f != f else f for f in fields)
+                places.append(seq)
+                ids.append(fields[0])
+                before.append(previous)
+                previous = hmac.new(secret, text.encode("utf-8"), hashlib.sha256).hexdigest()
+                hashes.append(previous)
+            pdf = pdf.assign(seq=places, id=ids, previous_hash=before, integrity_hash=hashes)
+            yield pdf[["chain_id", "seq", "id", "timestamp", "action", "investigation_id", "actor", "notes",
+                       "previous_hash", "integrity_hash"]]
+
+    ordered = rows.repartition("chain_id").sortWithinPartitions("chain_id", "ts_us", "audit_id")
+    return ordered.mapInPandas(link, CHAIN_SCHEMA)
 
 
 def heads(ledger):
