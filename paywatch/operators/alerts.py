@@ -11,6 +11,7 @@ from paywatch.operators.tiles import tile_of, with_context
 from paywatch.session import materialize
 
 BLOCK_US = fixed.HOUR_US
+SPAN_BLOCKS = 24
 
 
 def candidates(assessed, levels=tuple(fixed.ALERT_LEVELS)):
@@ -21,15 +22,21 @@ def dedup(rows, window_us=fixed.DEDUP_WINDOW_US, block_us=BLOCK_US):
     """Keeps a candidate only if no kept one of its merchant is at most ``window_us`` older.
 
     The rule is greedy, so each decision depends on the one before. Time is cut into blocks: every block first tells,
-    for each place suppression may reach into it, where its last kept row would be; one small walk per merchant over
-    these tables (a few rows per block) fixes what enters each block; the blocks then run independently.
+    for each place suppression may reach into it, where its last kept row would be. The blocks of a span are composed
+    to the same kind of table for the span; one walk per merchant over the spans fixes what enters each, then each span
+    what enters its blocks, and the blocks run independently.
     """
+    span_us = SPAN_BLOCKS * block_us
     times = rows.selectExpr("merchant_id", "ts_us", f"{tile_of('ts_us', block_us)} as block").distinct()
     exits = times.groupBy("merchant_id", "block").applyInPandas(
         lambda pdf: block_exits(pdf, window_us, block_us), "merchant_id string, block long, upto long, last long"
-    )
-    entries = exits.groupBy("merchant_id").applyInPandas(
+    ).selectExpr("*", f"{tile_of(f'block * {block_us}L', span_us)} as span")
+    spans = span_exits(exits, window_us, span_us).selectExpr("merchant_id", "span as block", "upto", "last")
+    entering = spans.groupBy("merchant_id").applyInPandas(
         lambda pdf: walk_blocks(pdf, window_us), "merchant_id string, block long, entering long"
+    ).selectExpr("merchant_id", "block as span", "entering")
+    entries = entering.groupBy("merchant_id", "span").cogroup(exits.groupBy("merchant_id", "span")).applyInPandas(
+        lambda first, pdf: walk_blocks(pdf, window_us, int(first["entering"].iloc[0])), "merchant_id string, block long, entering long"
     )
     kept = times.join(entries, ["merchant_id", "block"]).groupBy("merchant_id", "block").applyInPandas(
         lambda pdf: keep_in_block(pdf, window_us), "merchant_id string, ts_us long"
@@ -38,6 +45,35 @@ def dedup(rows, window_us=fixed.DEDUP_WINDOW_US, block_us=BLOCK_US):
     return rows.join(ids.join(kept, ["merchant_id", "ts_us"]), ["merchant_id", "ts_us", "transaction_id"], "left_semi")
 
 
+def span_exits(exits, window_us, span_us):
+    return exits.groupBy("merchant_id", "span").applyInPandas(
+        lambda pdf: compose_blocks(pdf, window_us, span_us), "merchant_id string, span long, upto long, last long"
+    )
+
+
+def compose_blocks(pdf, window_us, span_us):
+    """The tables of a span's blocks as one table of the span: each step is carried through the blocks after its own."""
+    blocks = [(g["upto"].to_numpy(), g["last"].to_numpy()) for _, g in pdf.sort_values(["block", "upto"]).groupby("block", sort=True)]
+    reach = int(pdf["span"].iloc[0]) * span_us + window_us
+    entry, last = [], []
+    for k, (upto, out) in enumerate(blocks):
+        out = out.copy()
+        for later, then in blocks[k + 1:]:
+            at = np.searchsorted(later, out + window_us, side="right")
+            open_ = at < len(later)
+            out[open_] = then[at[open_]]
+        entry.append(upto)
+        last.append(out)
+        # What suppression brings into the span cannot pass beyond this block.
+        if upto[-1] >= reach:
+            break
+    entry, last = np.concatenate(entry), np.concatenate(last)
+    ends = np.append(last[:-1] != last[1:], True)
+    return pd.DataFrame({
+        "merchant_id": pdf["merchant_id"].iloc[0], "span": pdf["span"].iloc[0], "upto": entry[ends], "last": last[ends]
+    })
+
+
 def block_exits(pdf, window_us, block_us):
     """Last kept time of the block for every possible first kept time, as steps: holds while the entry is <= upto."""
     times = np.sort(pdf["ts_us"].to_numpy())
@@ -56,9 +92,9 @@ def block_exits(pdf, window_us, block_us):
     })
 
 
-def walk_blocks(pdf, window_us):
-    """The last kept time before each block of one merchant."""
-    entering, out = -1, []
+def walk_blocks(pdf, window_us, entering=-1):
+    """The last kept time before each block of one merchant, from what enters the first."""
+    out = []
     for block, steps in pdf.sort_values(["block", "upto"]).groupby("block", sort=True):
         out.append((pdf["merchant_id"].iloc[0], block, entering))
         open_steps = steps if entering < 0 else steps[steps["upto"] > entering + window_us]

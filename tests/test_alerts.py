@@ -29,6 +29,21 @@ def test_dedup_equals_the_sequential_rule(spark, block):
         assert sorted(r.ts_us for r in kept if r.merchant_id == merchant) == want
 
 
+def test_dense_candidates_leave_few_steps_to_the_walk(spark):
+    from pyspark.sql import functions as F
+
+    base, rng = 1704067200000000, random.Random(5)
+    times = sorted({base + rng.randrange(2 * 86_400) * 1_000_000 for _ in range(40_000)})
+    rows = spark.createDataFrame([("m", t, f"t{t}") for t in times], "merchant_id string, ts_us long, transaction_id string")
+    kept = sorted(r.ts_us for r in alerts.dedup(rows).collect())
+    assert kept == greedy(times, 5 * MINUTE)
+    hours = rows.withColumn("block", F.expr(f"ts_us div {fixed.HOUR_US}L")).groupBy("merchant_id", "block").applyInPandas(
+        lambda pdf: alerts.block_exits(pdf, 5 * MINUTE, fixed.HOUR_US), "merchant_id string, block long, upto long, last long")
+    steps = hours.withColumn("span", F.expr("block div 24"))
+    days = alerts.span_exits(steps, 5 * MINUTE, fixed.DAY_US).count()
+    assert days <= hours.count() / 24 and days <= 2 * 60
+
+
 def test_recent_active_alerts_suppress(spark):
     base = 1704067200000000
     rows = spark.createDataFrame(
