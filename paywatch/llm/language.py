@@ -25,6 +25,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from paywatch.llm import tokens
+from paywatch.session import materialize
 
 UNDETERMINED = "und"
 ORDER = 3
@@ -97,7 +98,8 @@ def fit(docs, text="text", lang="lang", key="doc_id", per_language=PER_LANGUAGE,
     # The sample is chosen without its texts, which are read again for the chosen rows only.
     by_label = Window.partitionBy("lang").orderBy("h")
     chosen = labelled.select("lang", "h").withColumn("r", F.row_number().over(by_label)).where(F.col("r") <= per_language)
-    chosen = chosen.select(F.col("lang").alias("of"), F.col("h").alias("number")).distinct()
+    # Written, so that Spark knows its size and need not shuffle the texts where it is small.
+    chosen = materialize(chosen.select(F.col("lang").alias("of"), F.col("h").alias("number")).distinct(), "language-sample")
     sample = labelled.join(chosen, (F.col("lang") == F.col("of")) & (F.col("h") == F.col("number")), "left_semi")
     sample = sample.groupBy("lang", "h").agg(F.first("text").alias("text"))
     counted = (
