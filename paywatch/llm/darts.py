@@ -19,7 +19,7 @@ from paywatch.llm.tokens import mix
 FINE = 40
 EMPTY = np.uint64((1 << 64) - 1)
 #: Cells (of weight by time) that are thrown into at once.
-BLOCK = 1 << 21
+BLOCK = 1 << 19
 
 
 def _poisson():

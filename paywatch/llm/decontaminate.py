@@ -36,7 +36,7 @@ SAMPLED = 3
 MOST_REPETITIONS = 40
 TRIALS = 400
 BLOCK_BYTES = 8 << 20
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 2 << 20
 TABLE_BITS = 18
 #: Stands between texts; the walk writes it and never moves past it.
 END = np.uint64(1)

@@ -31,8 +31,8 @@ UNDETERMINED = "und"
 ORDER = 3
 PER_LANGUAGE = 300
 MIN_COUNT = 4
-MAX_CONTEXTS = 24_000
-SLICE = 1 << 19
+MAX_CONTEXTS = 10_000
+SLICE = 1 << 18
 RESULT = "struct<lang: string, score: double, bits: double>"
 
 

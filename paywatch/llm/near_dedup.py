@@ -38,7 +38,7 @@ LAST = (1 << 63) - 1
 BLOCK = 256
 CALL_ROWS = 2000
 #: Words whose signatures are made at once.
-CHUNK_WORDS = 1 << 18
+CHUNK_WORDS = 1 << 17
 
 
 def shingles(column, length=WORDS):

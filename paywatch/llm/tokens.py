@@ -11,7 +11,7 @@ import numpy as np
 import pyarrow as pa
 
 BASE = 0x9E3779B97F4A7C15 | 1
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 WHITE_BYTES = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)
 
 
