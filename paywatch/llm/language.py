@@ -103,7 +103,7 @@ def fit(docs, text="text", lang="lang", key="doc_id", per_language=PER_LANGUAGE,
     sample = labelled.join(chosen, (F.col("lang") == F.col("of")) & (F.col("h") == F.col("number")), "left_semi")
     sample = sample.groupBy("lang", "h").agg(F.first("text").alias("text"))
     counted = (
-        sample.select("lang", "text").mapInArrow(_grams, "lang string, seen_in long, context long, byte long, n long")
+        sample.select("lang", "text").coalesce(8).mapInArrow(_grams, "lang string, seen_in long, context long, byte long, n long")
         .groupBy("lang", "seen_in", "context", "byte").agg(F.sum("n").alias("n"))
     )
     enough = counted.groupBy("lang", "seen_in", "context").agg(F.sum("n").alias("total")).where(f"seen_in < 2 or total >= {int(min_count)}")
