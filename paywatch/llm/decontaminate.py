@@ -1,28 +1,22 @@
-"""Benchmark decontamination by edit distance: random-walk embedding, bit-sampling LSH, exact verification.
+"""Benchmark decontamination by edit distance: intact segments, exact verification.
 
-Texts are sequences of words (A-Z in lower case, white space and ASCII punctuation between them). The random walk of
-Chakraborty, Goldenberg and Koucky reads a sequence step by step: it writes the word under its pointer and moves on or
-stays, as a random bit of (step, word) says. Two sequences that differ by few edits walk together again soon after each
-edit, so their embeddings differ in few places. A repetition has its own bits, an offset in the item at which its walk
-starts, and a few sampled steps of the embedding; a window of a document and an item that agree at all sampled steps are
-candidates. Windows start at every word. Items of similar length share the sampled steps, which spread over three
-quarters of the shortest of them.
-
-The number of repetitions is set per length class: edits at the limit are made at random in the class's own items, the
-share found by one repetition is measured, and as many are used as bring the chance of finding such an item to
-``recall``. Passages with fewer edits are found more surely, and verbatim ones always.
+Texts are sequences of words (A-Z in lower case, white space and ASCII punctuation between them). An item of n words may
+differ from a document's passage by at most ``limit`` = ``rate`` times n edits. It is cut into limit + 1 segments of equal
+length. An edit falls into one segment at most, so wherever the item occurs within its limit, some segment stands there
+word for word. Runs of words of the segments' lengths, hashed at every word of a document, are looked up among the
+segments; a run that is found says where the item would lie, give or take the limit. No occurrence within the limit is
+left out, whatever the item's length. At the default rate segments have five to nine words (the whole item below ten).
 
 Every candidate is verified: the word edit distance between the whole item and the best part of the document around the
-window, which must not exceed ``rate`` times the item's words. Items are sent to the tasks in blocks of bounded bytes,
-and all documents are compared with every block.
+run, which must not exceed the limit. Candidates of an item that lie close together are verified at once, and given up
+when no part can come within the limit any more. Items are sent to the tasks in blocks of bounded bytes, and all
+documents are compared with every block.
 
 Defined results: a null or empty text has no matches; an item of fewer than ``min_words`` words is never searched, nor is
 a null one; items with equal words match alike; of several places in a document the one with the smallest distance
 counts, the first of them on ties; repeated rows are judged one by one. Extra columns stay.
 """
 
-import math
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
@@ -30,15 +24,17 @@ from pyspark.sql import functions as F
 from paywatch.llm import tokens
 
 RATE = 0.1
-RECALL = 0.999
 MIN_WORDS = 8
-SAMPLED = 3
-MOST_REPETITIONS = 40
-TRIALS = 400
+#: Words of a segment that are hashed, from its first.
+SEGMENT_WORDS = 16
 BLOCK_BYTES = 8 << 20
 CHUNK_BYTES = 2 << 20
 TABLE_BITS = 18
-#: Stands between texts; the walk writes it and never moves past it.
+#: Run and segment pairs taken at a time; cells of the distance table's rows held at a time; its rows between two looks at the limit.
+PAIRS = 1 << 20
+CELLS = 1 << 18
+LOOK = 32
+#: Stands between texts; no item has it.
 END = np.uint64(1)
 SEPARATORS = tuple(sorted({*tokens.WHITE_BYTES, *tokens.punctuation()}))
 FOUND = "array<struct<item: long, start: long, distance: long>>"
@@ -55,163 +51,118 @@ def sequence(column):
     return out, start, counts
 
 
-class Repetition:
-    """Bits, offset and sampled steps of one repetition over items of one length class."""
+def runs(words, longest):
+    """Keys of the runs of 1, 2, ... ``longest`` words that start at each word."""
+    keys = np.zeros(len(words), dtype=np.uint64)
+    for length in range(1, min(longest, len(words)) + 1):
+        with np.errstate(over="ignore"):
+            keys = tokens.mix(keys[:len(words) - length + 1] * np.uint64(0x9E3779B97F4A7C15) + words[length - 1:])
+        yield length, keys
 
-    def __init__(self, number, shortest):
-        rng = np.random.default_rng([number, shortest])
-        self.seed = int(rng.integers(1, 1 << 62))
-        self.offset = number % max(1, shortest // 4)
-        reach = max(SAMPLED, int(1.5 * (shortest - self.offset)) - 2)
-        self.steps = np.sort(rng.choice(np.arange(1, reach), size=min(SAMPLED - 1, reach - 1), replace=False)).tolist()
 
-    def bits(self, words, lot):
-        with np.errstate(over="ignore"):
-            out = tokens.mix(words ^ np.uint64((self.seed + lot * 0x9E3779B97F4A7C15) % (1 << 64)))
-        out[words == END] = 0
-        return out
-
-    def keys(self, words, at, sieves=None):
-        """Keys of the walks that start at ``at``, and which walks passed the sieves."""
-        lots = {}
-        alive, pointer = np.arange(len(at)), at
-        key, step = words[at], 0
-        for k, stop in enumerate([0, *self.steps]):
-            while step < stop:
-                lot = lots.setdefault(step >> 6, None)
-                if lot is None:
-                    lot = lots[step >> 6] = self.bits(words, step >> 6)
-                pointer = pointer + ((lot[pointer] >> np.uint64(step & 63)) & np.uint64(1)).astype(np.int64)
-                step += 1
-            if stop:
-                with np.errstate(over="ignore"):
-                    key = tokens.mix(key * np.uint64(0x9E3779B97F4A7C15) + words[pointer])
-            if sieves is not None:
-                passed = sieves[k][(key >> np.uint64(64 - TABLE_BITS)).astype(np.int64)]
-                alive, pointer, key = alive[passed], pointer[passed], key[passed]
-        return alive, key
+def slots(keys):
+    return (keys >> np.uint64(64 - TABLE_BITS)).astype(np.int64)
 
 
 class Items:
     """A block of items, ready to search; what the tasks receive."""
 
-    def __init__(self, ids, texts, rate=RATE, recall=RECALL, min_words=MIN_WORDS):
+    def __init__(self, ids, texts, rate=RATE, min_words=MIN_WORDS):
+        if not 0 <= rate < 1:
+            raise ValueError("rate must be at least 0 and below 1")
         words, start, counts = sequence(pa.array(texts, pa.large_string()))
-        use = counts >= min_words
+        use = counts >= max(1, min_words)
         self.ids = np.asarray(ids, dtype=object)[use]
         self.words, self.start, self.counts = words, start[use], counts[use]
-        self.rate = rate
         self.limit = np.floor(self.counts * rate).astype(np.int64)
-        self.plans = []
-        classes = np.floor(np.log2(np.maximum(self.counts, 1))).astype(int)
-        for c in np.unique(classes):
-            members = np.flatnonzero(classes == c)
-            shortest = int(self.counts[members].min())
-            for number in range(self._repetitions(members, shortest, recall)):
-                self.plans.append(self._plan(Repetition(number, shortest), members))
-
-    def _repetitions(self, members, shortest, recall):
-        """Repetitions that find an item with as many edits as allowed with the wanted chance."""
-        rng = np.random.default_rng(shortest)
-        found = tries = 0
-        for n in range(TRIALS):
-            item = members[n % len(members)]
-            own = self.words[self.start[item]:self.start[item] + self.counts[item]]
-            damaged, map_ = edited(own, int(self.limit[item]), rng)
-            rep = Repetition(n % MOST_REPETITIONS, shortest)
-            where = map_[rep.offset]
-            tries += 1
-            if where is not None:
-                pair = np.concatenate([own, [END], damaged, [END]])
-                _, keys = rep.keys(pair, np.array([rep.offset, len(own) + 1 + where]))
-                found += keys[0] == keys[1]
-        share = min(max(found / tries, 1e-3), 1 - 1e-9)
-        return int(min(MOST_REPETITIONS, max(2, math.ceil(math.log(1 - recall) / math.log(1 - share)))))
-
-    def _plan(self, rep, members):
-        at = self.start[members] + rep.offset
-        sieves = []
-        for k in range(len(rep.steps) + 1):
-            short = Repetition.__new__(Repetition)
-            short.seed, short.offset, short.steps = rep.seed, rep.offset, rep.steps[:k]
-            _, keys = short.keys(self.words, at)
-            sieve = np.zeros(1 << TABLE_BITS, dtype=bool)
-            sieve[(keys >> np.uint64(64 - TABLE_BITS)).astype(np.int64)] = True
-            sieves.append(sieve)
-        order = np.argsort(keys, kind="stable")
-        return rep, sieves, keys[order], members[order]
-
-
-def edited(words, edits, rng):
-    """A copy with random insertions, deletions and substitutions, and where each word of the original went."""
-    out = [(w, k) for k, w in enumerate(words)]
-    for _ in range(edits):
-        at = int(rng.integers(0, max(1, len(out))))
-        fresh = (np.uint64(rng.integers(2, 1 << 62)), None)
-        kind = int(rng.integers(0, 3))
-        if kind == 0 or not out:
-            out.insert(at, fresh)
-        elif kind == 1:
-            out[at] = fresh
-        else:
-            del out[at]
-    where = dict.fromkeys(range(len(words)))
-    where.update({k: p for p, (_, k) in enumerate(out) if k is not None})
-    return np.array([w for w, _ in out], dtype=np.uint64), where
-
-
-def distances(items, words, low, high, which):
-    """Edit distance of item ``which`` to the best part of words[low:high], and where that part ends; all one length."""
+        #: Per run length: a table of the segments' slots, their keys in order, and item and offset of each.
+        self.segments = {}
+        parts = self.limit + 1
+        item = np.repeat(np.arange(len(parts)), parts)
+        number = np.arange(int(parts.sum())) - np.repeat(np.cumsum(parts) - parts, parts)
+        offset = number * self.counts[item] // parts[item]
+        size = np.minimum(self.counts // parts, SEGMENT_WORDS)[item]
+        for length, keys in runs(words, int(size.max(initial=0))):
+            of = np.flatnonzero(size == length)
+            if len(of):
+                own = keys[self.start[item[of]] + offset[of]]
+                sieve = np.zeros(1 << TABLE_BITS, dtype=bool)
+                sieve[slots(own)] = True
+                order = np.argsort(own, kind="stable")
+                self.segments[length] = sieve, own[order], item[of][order], offset[of][order]
+
+
+def distances(items, words, low, high, which, limit=None):
+    """Edit distance of item ``which`` to the best part of words[low:high], and where that part ends; all one length.
+
+    With a ``limit``, rows that are above it for good are given up, with limit + 1 as their distance.
+    """
     length, width = int(items.counts[which[0]]), int((high - low).max())
     column = low[:, None] + np.arange(width)
     region = np.where(column < high[:, None], words[np.minimum(column, len(words) - 1)], END)
     ramp = np.arange(width + 1)
     row = np.zeros((len(which), width + 1), dtype=np.int32)
+    alive = np.arange(len(which))
     for i in range(length):
-        symbol = items.words[items.start[which] + i][:, None]
+        symbol = items.words[items.start[which[alive]] + i][:, None]
         step = np.empty_like(row)
         step[:, 0] = i + 1
         np.minimum(row[:, :-1] + (region != symbol), row[:, 1:] + 1, out=step[:, 1:])
         row = np.minimum.accumulate(step - ramp, axis=1) + ramp
+        if limit is not None and i % LOOK == LOOK - 1:
+            near = row.min(1) <= limit
+            if not near.all():
+                alive, row, region = alive[near], row[near], region[near]
+                if not len(alive):
+                    break
+    distance, end = np.full(len(which), 0 if limit is None else limit + 1, dtype=np.int64), low.copy()
     best = row.argmin(1)
-    return row[np.arange(len(which)), best], low + best
+    distance[alive] = row[np.arange(len(alive)), best]
+    end[alive] += best
+    return distance, end
+
+
+def candidates(items, words, start, counts):
+    """Regions to verify: (text, item, first word, word after the last), each pair of text and item as often as it needs."""
+    out = [np.zeros((0, 3), dtype=np.int64)]
+    for length, found in runs(words, max(items.segments, default=0)):
+        if length not in items.segments:
+            continue
+        sieve, keys, members, offsets = items.segments[length]
+        at = np.flatnonzero(sieve[slots(found)])
+        left, right = np.searchsorted(keys, found[at]), np.searchsorted(keys, found[at], side="right")
+        at, left, many = at[right > left], left[right > left], (right - left)[right > left]
+        upto = np.cumsum(many)
+        cuts = np.unique([0, *np.searchsorted(upto, np.arange(PAIRS, upto[-1] if len(upto) else 0, PAIRS)), len(at)])
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            each = many[a:b]
+            segment = np.repeat(left[a:b] - (np.cumsum(each) - each), each) + np.arange(int(each.sum()))
+            which = members[segment]
+            place = np.repeat(at[a:b], each) - offsets[segment]
+            text = np.searchsorted(start, np.maximum(place, 0), side="right") - 1
+            # The text is that of the run's own words: a place before its text belongs to the next one.
+            late = place + items.counts[which] // 4 >= start[text] + counts[text]
+            text = np.where(late & (text + 1 < len(start)), text + 1, text)
+            out.append(np.unique(np.stack([text, which, place // (items.counts[which] // 4 + 1)], 1), axis=0))
+    text, which, lot = np.unique(np.concatenate(out), axis=0).T
+    step, limit = items.counts[which] // 4 + 1, items.limit[which]
+    low = np.maximum(lot * step - limit, start[text])
+    high = np.minimum(lot * step + step + items.counts[which] + limit, start[text] + counts[text])
+    return text, which, low, high
 
 
 def search(items, column):
     """Matches of each text: (text, item, first word of the part that matches, distance)."""
     words, start, counts = sequence(column)
-    places, hits = [], []
-    everywhere = np.flatnonzero(words != END)
-    if not len(everywhere):
-        return np.zeros((0, 4), dtype=np.int64)
-    for rep, sieves, keys, members in items.plans:
-        able = sieves[0][(words >> np.uint64(64 - TABLE_BITS)).astype(np.int64)]
-        able &= words != END
-        at = np.flatnonzero(able)
-        alive, key = rep.keys(words, at, sieves)
-        left, right = np.searchsorted(keys, key), np.searchsorted(keys, key, side="right")
-        many = right - left
-        which = members[np.repeat(left - (np.cumsum(many) - many), many) + np.arange(int(many.sum()))]
-        places.append(np.repeat(at[alive], many) - rep.offset)
-        hits.append(which)
-    place, which = np.concatenate(places), np.concatenate(hits)
-    if not len(place):
-        return np.zeros((0, 4), dtype=np.int64)
-    pairs = np.unique(np.stack([place, which], 1), axis=0)
-    place, which = pairs[:, 0], pairs[:, 1]
+    text, which, low, high = candidates(items, words, start, counts)
     limit, length = items.limit[which], items.counts[which]
-    text = np.searchsorted(start, np.maximum(place, 0), side="right") - 1
-    # The text is that of the window's own words: a window that starts before its text belongs to the next one.
-    late = place + length // 4 >= start[text] + counts[text]
-    text = np.where(late & (text + 1 < len(start)), text + 1, text)
-    low = np.maximum(place - limit - length // 4, start[text])
-    high = np.minimum(place + length + limit + length // 4, start[text] + counts[text])
     out = []
     for size in np.unique(length):
         of = np.flatnonzero((length == size) & (high > low))
-        for a in range(0, len(of), 512):
-            part = of[a:a + 512]
-            distance, end = distances(items, words, low[part], high[part], which[part])
+        rows = int(max(1, CELLS // (2 * size + 1)))
+        for a in range(0, len(of), rows):
+            part = of[a:a + rows]
+            distance, end = distances(items, words, low[part], high[part], which[part], int(limit[part[0]]))
             good = distance <= limit[part]
             first = np.maximum(end[good] - size - start[text[part][good]], 0)
             out.append(np.stack([text[part][good], which[part][good], first, distance[good]], 1))
@@ -240,7 +191,7 @@ def blocks(items, text="text", key="item_id", block_bytes=BLOCK_BYTES, **options
     for lot in range(lots):
         rows = known.where(F.pmod(F.xxhash64("id", "text"), F.lit(lots)) == lot).orderBy("id", "text").collect()
         block = Items([r.id for r in rows], [r.text for r in rows], **options)
-        if block.plans:
+        if block.segments:
             yield block
 
 

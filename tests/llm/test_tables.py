@@ -148,6 +148,25 @@ def tokens(text):
     return out.split()
 
 
+def damaged(words, edits, rng):
+    out = list(words)
+    for _ in range(edits):
+        at = rng.randrange(len(out))
+        out[at:at + rng.choice([0, 1])] = rng.choice([[], ["zz"]])
+    return out
+
+
+def test_items_of_any_length_are_found_at_their_limit():
+    rng = random.Random(3)
+    vocabulary = [f"v{k}" for k in range(3000)]
+    for number, size in ((40, 12), (20, 60), (40, 1024), (24, 4096)):
+        items = [rng.choices(vocabulary, k=size) for _ in range(number)]
+        docs = [rng.choices(vocabulary, k=50) + damaged(item, size // 10, rng) + rng.choices(vocabulary, k=50) for item in items]
+        block = decontaminate.Items(list(range(number)), [" ".join(item) for item in items])
+        got = decontaminate.search(block, pa.array([" ".join(doc) for doc in docs]))
+        assert {(text, item) for text, item, _, _ in got.tolist()} == {(k, k) for k in range(number)}
+
+
 def test_distances_equal_plain_ones():
     rng = random.Random(8)
     item = [f"a{k}" for k in range(12)]
