@@ -5,7 +5,8 @@ differ from a document's passage by at most ``limit`` = ``rate`` times n edits.
 length. An edit falls into one segment at most, so wherever the item occurs within its limit, some segment stands there
 word for word. Runs of words of the segments' lengths, hashed at every word of a document, are looked up among the
 segments; a run that is found says where the item would lie, give or take the limit. No occurrence within the limit is
-left out, whatever the item's length. At the default rate segments have five to nine words (the whole item below ten).
+left out, whatever the item's length. At the default rate segments have five to nine words; an item below ten words has the
+limit 0 and is one segment, which is found word for word.
 
 Every candidate is verified: the word edit distance between the whole item and the best part of the document around the
 run, which must not exceed the limit. Candidates of an item that lie close together are verified at once, and given up
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 from paywatch.llm import tokens
 
 RATE = 0.1
-MIN_WORDS = 8
+MIN_WORDS = 1
 #: Words of a segment that are hashed, from its first.
 SEGMENT_WORDS = 16
 BLOCK_BYTES = 8 << 20

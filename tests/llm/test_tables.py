@@ -167,6 +167,12 @@ def test_items_of_any_length_are_found_at_their_limit():
         assert {(text, item) for text, item, _, _ in got.tolist()} == {(k, k) for k in range(number)}
 
 
+def test_short_items_are_found_word_for_word():
+    block = decontaminate.Items([1, 2, 3, 4], ["Why is it so?", "forty-two", "", "a b c d e f g"])
+    got = decontaminate.search(block, pa.array(["well, why is it so", "why is it not so", "Forty two", "x a b c d e f g", "a b c d e f", "", "so"]))
+    assert [(text, block.ids[item], first, distance) for text, item, first, distance in got.tolist()] == [(0, 1, 1, 0), (2, 2, 0, 0), (3, 4, 1, 0)]
+
+
 def test_distances_equal_plain_ones():
     rng = random.Random(8)
     item = [f"a{k}" for k in range(12)]
