@@ -140,10 +140,8 @@ def candidates(items, words, start, counts):
             segment = np.repeat(left[a:b] - (np.cumsum(each) - each), each) + np.arange(int(each.sum()))
             which = members[segment]
             place = np.repeat(at[a:b], each) - offsets[segment]
-            text = np.searchsorted(start, np.maximum(place, 0), side="right") - 1
-            # The text is that of the run's own words: a place before its text belongs to the next one.
-            late = place + items.counts[which] // 4 >= start[text] + counts[text]
-            text = np.where(late & (text + 1 < len(start)), text + 1, text)
+            # The run's own text: the place may lie before it, if the text begins inside the item.
+            text = np.repeat(np.searchsorted(start, at[a:b], side="right") - 1, each)
             out.append(np.unique(np.stack([text, which, place // (items.counts[which] // 4 + 1)], 1), axis=0))
     text, which, lot = np.unique(np.concatenate(out), axis=0).T
     step, limit = items.counts[which] // 4 + 1, items.limit[which]

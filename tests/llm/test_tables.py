@@ -173,6 +173,37 @@ def test_short_items_are_found_word_for_word():
     assert [(text, block.ids[item], first, distance) for text, item, first, distance in got.tolist()] == [(0, 1, 1, 0), (2, 2, 0, 0), (3, 4, 1, 0)]
 
 
+def test_text_that_begins_inside_an_item_after_short_texts():
+    item = [f"w{k}" for k in range(59)]
+    block = decontaminate.Items([1], [" ".join(item)])
+    for before in ([], ["a"], ["a", "b", "c"], ["", "a", "", "b"]):
+        got = decontaminate.search(block, pa.array([*before, " ".join(item[5:]), "d", "e", " ".join(item[:54])]))
+        assert got.tolist() == [[len(before), 0, 0, 5], [len(before) + 3, 0, 0, 5]]
+
+
+def test_search_equals_plain_distances():
+    rng = random.Random(9)
+    items = [rng.choices("abcdefgh", k=rng.randint(1, 25)) for _ in range(30)]
+    docs = [rng.choices("abcdefgh", k=rng.randint(0, 12)) for _ in range(60)]
+    for doc in docs[::2]:
+        item = rng.choice(items)
+        at = rng.randint(0, len(doc))
+        doc[at:at] = damaged(item, rng.randint(0, len(item) // 10 + 1), rng) if len(item) > 3 else item
+    want = {}
+    for t, doc in enumerate(docs):
+        for k, item in enumerate(items):
+            row = [0] * (len(doc) + 1)
+            for i, x in enumerate(item, 1):
+                last, row[0] = row[0], i
+                for j, y in enumerate(doc, 1):
+                    last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+            if min(row) <= len(item) // 10:
+                want[t, k] = max(row.index(min(row)) - len(item), 0), min(row)
+    block = decontaminate.Items(list(range(30)), [" ".join(item) for item in items])
+    got = decontaminate.search(block, pa.array([" ".join(doc) for doc in docs]))
+    assert {(t, k): (first, distance) for t, k, first, distance in got.tolist()} == want
+
+
 def test_distances_equal_plain_ones():
     rng = random.Random(8)
     item = [f"a{k}" for k in range(12)]
