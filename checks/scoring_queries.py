@@ -301,7 +301,8 @@ def fitted(spark, d):
 def gbt_train(spark, d):
     """Four models on the held-out last part: threshold, z-score (fitted on the first part), trees, and trees with the z-score."""
     trained, rows = fitted(spark, d)
-    test = evaluation.zscore_model(model.score(trained, rows.where("split = 'test'")).withColumnsRenamed({"score": "gbt", "prediction": "gbt_hit"}),
+    judged = model.score(trained, rows.where("split = 'test'")).drop("score")
+    test = evaluation.zscore_model(judged.withColumnsRenamed({"probability": "gbt", "prediction": "gbt_hit"}),
                                    rows.where("split = 'train'")).withColumnsRenamed({"score": "zscore", "prediction": "z_hit"})
     test = risk.threshold_model(test).withColumnsRenamed({"score": "threshold", "prediction": "t_hit"})
     test = risk.combined_model(test, "gbt", "zscore").withColumnsRenamed({"score": "combined", "prediction": "c_hit"})

@@ -39,10 +39,14 @@ def train(rows, validation=None, trees=200, depth=6, step=0.1, subsample=0.8, co
 
 
 def score(model, rows):
-    """Adds the fraud probability (4 places), its 0-100 form and the prediction."""
+    """Adds the fraud probability as it is and as a score (4 places), its 0-100 form and the prediction.
+
+    The score is for reports; ranks, areas and combinations take the probability.
+    """
     scored = model.transform(rows).withColumn("_p", vector_to_array("probability")[1])
     return scored.selectExpr(
-        *rows.columns, "round(_p, 4) as score", "int(bround(_p * 100)) as risk_score", "int(prediction) as prediction"
+        *rows.columns, "_p as probability", "round(_p, 4) as score", "int(bround(_p * 100)) as risk_score",
+        "int(prediction) as prediction",
     )
 
 

@@ -38,6 +38,22 @@ def test_attributions_add_up_to_the_model(trained, spark):
     assert len(top) <= 10 and set(r.feature for r in top) <= set(fixed.FEATURES)
 
 
+def test_comparison_takes_the_probability_as_it_is(trained, spark, monkeypatch):
+    from checks import scoring_queries
+
+    fitted, rows = trained
+    monkeypatch.setattr(scoring_queries, "fitted", lambda spark, d: trained)
+    monkeypatch.setattr(evaluation, "compare", lambda predictions: predictions)
+    got = {m: np.sort(g.score.to_numpy()) for m, g in scoring_queries.gbt_train(spark, "").toPandas().groupby("model")}
+    test = rows.where("split = 'test'")
+    margin = model.explain(fitted, test).toPandas().set_index("transaction_id").margin
+    raw = 1 / (1 + np.exp(-2 * margin))
+    z = evaluation.zscore_model(test, rows.where("split = 'train'")).toPandas().set_index("transaction_id").score.loc[raw.index]
+    assert np.allclose(got["gbt"], np.sort(raw), rtol=0, atol=1e-9)
+    assert np.allclose(got["combined"], np.sort(np.clip(0.6 * raw + 0.4 * z, 0, 1)), rtol=0, atol=1e-9)
+    assert got["gbt"].size and not np.array_equal(got["gbt"], np.round(got["gbt"], 4))
+
+
 def test_model_score_enters_the_aggregate(trained, spark):
     from paywatch.operators import baselines
     from paywatch.plans import scoring
