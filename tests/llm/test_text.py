@@ -264,6 +264,28 @@ def test_main_text(page):
     assert main_text.main_text(page % ARTICLE) == TEXT
 
 
+LONG = "A long line of the article's own text, which goes on for many words and has no tags at all inside it, as paragraphs do."
+
+
+@pytest.mark.parametrize("part, text", [
+    (f"<section id='discussion'><h2>Discussion</h2><p>{LONG}</p></section>", f"Discussion {LONG}"),
+    (f"<section id='pagination'><p>{LONG}</p><ul class='pager'><li><a>2</a></ul></section>", LONG),
+    ("<h2 id='related-work'>Related work</h2>", "Related work"), ("<h2 id='social-impact'>Social impact</h2>", "Social impact"),
+    ("<h3 id=comments>Comments on this</h3>", "Comments on this"), ("<h2 id='alert-levels'>Alert levels</h2>", "Alert levels"),
+    (f"<section id='notice-period'><p>{LONG}</p></section>", LONG), (f"<p class='side-effects'>{LONG}</p>", LONG),
+    (f"<div class='side-by-side'><p>{LONG}</p></div>", LONG), ("<p>The <a class='share-price' href=x>price</a> rose.</p>", "The price rose."),
+    ("<p>Let <math><mi>x</mi><mo>=</mo><mn>1</mn></math>, say.</p>", "Let x=1, say."),
+    ("<div class='share-buttons'><a>Tell all of your friends about this article now</a></div>", ""), ("<div class='post-sidebar'>No</div>", ""),
+    (f"<section id='comments'><article><p>{LONG}</p></article></section>", ""), (f"<div id='ad-slot-1'>{LONG}</div>", ""),
+    ("<div id='share'><ul><li><a href=x><b>Mail</b></a><li><a href=x><b>Print</b></a></ul></div>", ""),
+    (f"<div class='related-posts'><article><p>{LONG}</p></article></div>", ""), (f"<p id='x' class='sponsored'>{LONG}</p>", ""),
+])
+def test_main_text_keeps_parts_with_ids_and_classes_of_their_own(part, text):
+    for tag in ("article", "main"):
+        got = main_text.main_text(f"<nav><a>No</a></nav><{tag}>{ARTICLE}{part}<p>{LONG}</p></{tag}>")
+        assert got == " ".join(t for t in (TEXT, text, LONG) if t)
+
+
 def test_main_text_of_odd_pages(spark):
     rows = [(1, None), (2, ""), (3, "no tags &lt; at all"), (4, "<p></p><br>"), (5, "<nav>only</nav>"), (6, "<article>" + "<p>word word</p>" * 20_000), (7, "<p>a<p>b</ul></div>&#x41;")]
     pages = spark.createDataFrame([(k, h, "x") for k, h in rows], "page_id long, html string, main_text string")
