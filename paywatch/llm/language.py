@@ -1,9 +1,9 @@
 """Language identification by prediction by partial matching (PPM).
 
 Every language has a tree of byte contexts of up to three bytes, learned from a bounded sample: ``per_language`` whole
-texts of each label, those with the smallest hash. A context is kept if it was seen ``min_count`` times; the limit is
-raised until no more than ``max_contexts`` remain over all languages, so the model's size is bounded. The trees are then
-frozen. A byte is coded in the longest context of the tree that ends before it; if the context has not seen the byte, an
+texts of each label, those with the smallest hash. A context is kept if it was seen ``min_count`` times; of the
+contexts of two and three bytes each language keeps its 10,000 most frequent ones, so the model's size is bounded by the
+number of languages. With ``max_contexts`` all languages share that number equally. The trees are then frozen. A byte is coded in the longest context of the tree that ends before it; if the context has not seen the byte, an
 escape is coded (method C: as likely as the context has distinct bytes) and the next shorter context codes it without
 the bytes that the longer one has seen. Below the empty context all remaining bytes are equally likely. The text's code
 length in bits under a language is the sum over its bytes, and the language with the shortest code is predicted. The
@@ -20,6 +20,7 @@ comes first by code point. Rows are predicted one by one, so repeated rows, repe
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -31,7 +32,7 @@ UNDETERMINED = "und"
 ORDER = 3
 PER_LANGUAGE = 300
 MIN_COUNT = 4
-MAX_CONTEXTS = 10_000
+LANGUAGE_CONTEXTS = 10_000
 SLICE = 1 << 18
 RESULT = "struct<lang: string, score: double, bits: double>"
 
@@ -90,7 +91,7 @@ def _grams(batches):
             })
 
 
-def fit(docs, text="text", lang="lang", key="doc_id", per_language=PER_LANGUAGE, min_count=MIN_COUNT, max_contexts=MAX_CONTEXTS):
+def fit(docs, text="text", lang="lang", key="doc_id", per_language=PER_LANGUAGE, min_count=MIN_COUNT, max_contexts=None):
     """Learns from ``per_language`` labelled texts of every language in ``docs``."""
     labelled = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(
         F.col(lang).alias("lang"), F.col(text).alias("text"), F.xxhash64(F.col(key).cast("string"), F.col(text)).alias("h")
@@ -111,13 +112,21 @@ def fit(docs, text="text", lang="lang", key="doc_id", per_language=PER_LANGUAGE,
     return tables(kept.toPandas(), max_contexts)
 
 
-def tables(counts, max_contexts=MAX_CONTEXTS):
+def bounded(counts, most):
+    """The counts with at most ``most`` contexts of order 2 and 3 of each language, those with the largest share of it."""
+    contexts = counts.loc[counts.seen_in > 1, ["lang", "seen_in", "context", "total"]].drop_duplicates()
+    contexts = contexts.sort_values(["total", "seen_in", "context"], ascending=[False, True, True])
+    kept = contexts[contexts.groupby("lang").cumcount() < most].drop(columns="total")
+    if len(kept) == len(contexts):
+        return counts
+    kept = pd.MultiIndex.from_frame(kept)
+    return counts[(counts.seen_in < 2) | pd.MultiIndex.from_frame(counts[["lang", "seen_in", "context"]]).isin(kept)]
+
+
+def tables(counts, max_contexts=None):
     """The model from a pandas table of (lang, seen_in, context, byte, n, total)."""
     languages = sorted(counts["lang"].unique())
-    contexts = counts[counts.seen_in > 1].groupby(["seen_in", "context"])["total"].max()
-    if len(contexts) > max_contexts:
-        limit = contexts.sort_values(ascending=False).iloc[max_contexts]
-        counts = counts[(counts.seen_in < 2) | (counts.total > limit)]
+    counts = bounded(counts, LANGUAGE_CONTEXTS if max_contexts is None else max_contexts // max(1, len(languages)))
     kind = np.zeros(256, dtype=np.int64)
     seen = np.sort(counts["byte"].unique()).astype(np.int64)
     kind[seen] = np.arange(1, len(seen) + 1)

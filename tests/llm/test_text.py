@@ -7,6 +7,7 @@ import re
 import zlib
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -110,6 +111,38 @@ def test_bounded_tree(spark):
     assert {r.language.lang for r in language.predicted(labelled(spark), small).where("lang = 'xx'").collect()} == {"xx"}
 
 
+def test_labels_with_few_texts_keep_their_trees():
+    rng = random.Random(12)
+    rows = []
+    for lang, texts in {"common": 400, "rare": 8}.items():
+        # The two differ in their pairs and triples of letters only.
+        own = ["abc", "bca", "cab"] if lang == "common" else ["acb", "bac", "cba"]
+        seen = collections.Counter()
+        for _ in range(texts):
+            data = (rng.choice(own) * 8 + "".join(rng.choices("abcdefgh", k=40))).encode()
+            for order in range(4):
+                for k in range(order, len(data)):
+                    seen[order, sum((b + 1) << (9 * n) for n, b in enumerate(reversed(data[k - order:k]))), data[k]] += 1
+        total = collections.Counter()
+        for (order, context, _), n in seen.items():
+            total[order, context] += n
+        rows += [(lang, order, context, byte, n, total[order, context]) for (order, context, byte), n in seen.items()]
+    counts = pd.DataFrame(rows, columns=["lang", "seen_in", "context", "byte", "n", "total"])
+    for most in (10, 100):
+        got = language.bounded(counts, most)
+        for lang, own in got[got.seen_in > 1].groupby("lang"):
+            all_ = counts[(counts.lang == lang) & (counts.seen_in > 1)].drop_duplicates(["seen_in", "context"])
+            left = own.drop_duplicates(["seen_in", "context"])
+            assert len(left) == min(most, len(all_)) and sorted(left.total) == sorted(all_.total)[-len(left):]
+        assert set(got[got.seen_in > 1].lang) == {"common", "rare"}
+        assert len(got[got.seen_in < 2]) == len(counts[counts.seen_in < 2])
+    model = language.tables(counts, max_contexts=100)
+    raw, offsets = tokens.flat(pa.array(["acbacbacbacb", "abcabcabcabc"]))
+    bits = language.code_lengths(model, raw, offsets)
+    assert [model.languages[k] for k in bits.argmin(1)] == ["rare", "common"]
+    assert language.bounded(counts, 10_000) is counts
+
+
 def test_scores_against_plain_counts(spark):
     rng = random.Random(4)
     vocabulary = [f"W{k}" for k in range(60)]
