@@ -1,13 +1,13 @@
 """Exact median over a sliding time frame, for groups of any size.
 
-A tile with few rows is sorted in its task. Where a group has a tile too large for that, every row asks for the two
-middle order statistics of its frame and descends a tree of value ranges: at each level sliding sums count the frame's
-rows per range, which tells the range that holds the statistic and its place there. Ranges shrink until a tile of one
-of them is small again, or holds a single value. No group is cut, sampled or gathered.
+A tile with few rows is answered in its task by a wavelet matrix, all frames at once. Where a group has a tile too large
+for that, every row asks for the two middle order statistics of its frame and descends a tree of value ranges of its
+tile: at each level sliding sums count the frame's rows per range, which tells the range that holds the statistic and its
+place there. Ranges shrink until one of them is small again, or holds a single value. No group is cut, sampled or
+gathered.
 """
 
 import math
-from bisect import bisect_left, insort
 
 import numpy as np
 import pyarrow as pa
@@ -47,40 +47,56 @@ def small_medians(df, key, ts, value, name, window_us, tile_us):
 
     def medians(table):
         table = table.sort_by(ts)
-        values = table[value].to_numpy()
-        frames = sliding_frames(table[ts].to_numpy(), values, np.ones(len(values), dtype=bool), window_us)
-        out = [(f[(len(f) - 1) // 2] + f[len(f) // 2]) / 2 if f else None for f in frames]
-        table = table.append_column(name, pa.array(out, type=pa.float64()))
+        times, values = table[ts].to_numpy(), table[value].to_numpy().astype("float64")
+        counted = ~np.isnan(values)
+        low, high = frames(times[counted], times, window_us)
+        found = np.full(len(times), np.nan)
+        some = np.flatnonzero(high > low)
+        low, high = low[some], high[some]
+        many = high - low
+        ordered = order_statistics(
+            values[counted], np.r_[low, low], np.r_[high, high], np.r_[(many - 1) // 2, many // 2]
+        )
+        found[some] = (ordered[:len(some)] + ordered[len(some):]) / 2
+        table = table.append_column(name, pa.array(found, type=pa.float64(), from_pandas=True))
         return table.filter(table["own"]).drop_columns(["tile", "own"])
 
     return tiled.groupBy(key, "tile").applyInArrow(medians, schema)
 
 
-def sliding_frames(times, values, counted, window):
-    """Yields, for each row in time order, the sorted values in ``[t - window, t]`` (one list, changed in place)."""
-    frame, start, at, n = [], 0, 0, len(times)
-    for i in range(n):
-        while at < n and times[at] <= times[i]:
-            if counted[at] and values[at] == values[at]:
-                insort(frame, float(values[at]))
-            at += 1
-        while times[start] < times[i] - window:
-            if counted[start] and values[start] == values[start]:
-                del frame[bisect_left(frame, float(values[start]))]
-            start += 1
-        yield frame
+def frames(counted_times, times, window):
+    """First place, and place after the last, among ascending ``counted_times`` of the frame ``[t - window, t]`` of each time."""
+    return np.searchsorted(counted_times, times - window, "left"), np.searchsorted(counted_times, times, "right")
+
+
+def order_statistics(values, low, high, place):
+    """The ``place``-th smallest (from 0) of ``values[low:high]`` for every (low, high, place), all at once.
+
+    A wavelet matrix over the ranks: each level keeps the ranks' order by one bit, and a running count of zeros tells how
+    many of a range's ranks go left, hence where the range lies one level down and on which side the statistic is. Work is
+    (values + questions) times the bits of a rank, whatever the frames hold.
+    """
+    order = np.argsort(values, kind="stable")
+    ranks = np.empty(len(values), np.int64)
+    ranks[order] = np.arange(len(values))
+    found = np.zeros(len(place), np.int64)
+    for bit in reversed(range(max(len(values) - 1, 1).bit_length())):
+        ones = (ranks >> bit) & 1 == 1
+        zeros = np.concatenate([[0], np.cumsum(~ones)])
+        from_low, from_high = zeros[low], zeros[high]
+        left = from_high - from_low
+        right = place >= left
+        found |= right.astype(np.int64) << bit
+        place = np.where(right, place - left, place)
+        low = np.where(right, zeros[-1] + low - from_low, from_low)
+        high = np.where(right, zeros[-1] + high - from_high, from_high)
+        ranks = np.concatenate([ranks[~ones], ranks[ones]])
+    return values[order[found]]
 
 
 def large_medians(rows, key, ts, value, row_id, name, window_us, tile_us, levels):
     """(row_id, median) by descending ``levels`` value ranges and sorting what remains."""
-    values = rows.where(f"{value} is not null").selectExpr(f"{key} as node", f"{ts} as ts", f"{value} as value")
-    counted = sliding_sums(
-        rows.selectExpr(f"{key} as node", f"{ts} as ts", f"{row_id} as row_id", f"int({value} is not null) as present"),
-        ["node"], "ts", [Measure("n", "present", window_us)],
-    )
-    asked = counted.where("n > 0").selectExpr(
-        "node", "ts", "string(row_id) as row_id", "explode(array((n - 1) div 2, n div 2)) as place"
-    )
+    values, asked = local_questions(rows, key, ts, value, row_id, window_us, tile_us)
     # Every level reads both tables several times, so each is written before the next begins.
     for _ in range(levels):
         values, asked = descend(values, materialize(asked, "median-places"), window_us)
@@ -90,6 +106,25 @@ def large_medians(rows, key, ts, value, row_id, name, window_us, tile_us, levels
     return found.groupBy("row_id").agg(F.expr(f"avg(value) as {name}")).withColumnRenamed("row_id", row_id)
 
 
+def local_questions(rows, key, ts, value, row_id, window_us, tile_us):
+    """Values (node, ts, value) and the places asked for (node, ts, row_id, place); a node is one tile of a group.
+
+    A tile's node holds the rows its frames look back to as well, so its value ranges follow the values of that time
+    and a price that drifts over the history does not fall into one range.
+    """
+    tiled = with_context(rows.select(key, ts, value, row_id), ts, tile_us, window_us).selectExpr(
+        f"concat({key}, '@', tile) as node", f"{ts} as ts", f"{value} as value", f"{row_id} as row_id", "own"
+    )
+    values = tiled.where("value is not null").select("node", "ts", "value")
+    counted = sliding_sums(
+        tiled.selectExpr("node", "ts", "row_id", "own", "int(value is not null) as present"), ["node"], "ts", [Measure("n", "present", window_us)],
+    )
+    asked = counted.where("own and n > 0").selectExpr(
+        "node", "ts", "string(row_id) as row_id", "explode(array((n - 1) div 2, n div 2)) as place"
+    )
+    return values, asked
+
+
 def descend(values, asked, window_us):
     """Moves every value, and every asked-for place, from its node to one of the node's value ranges."""
     shares = ", ".join(f"{i / FANOUT}D" for i in range(1, FANOUT))
@@ -127,13 +162,10 @@ def pick(values, asked, window_us, tile_us):
     def answers(table):
         table = table.sort_by("ts")
         counted = table["row_id"].is_null().to_numpy()
-        places, ids = table["place"].to_pylist(), table["row_id"].to_pylist()
-        values = table["value"].to_numpy()
-        kept, out = [], []
-        for i, frame in enumerate(sliding_frames(table["ts"].to_numpy(), values, counted, window_us)):
-            if not counted[i]:
-                kept.append(ids[i])
-                out.append(frame[places[i]])
-        return pa.table({"row_id": pa.array(kept, pa.string()), "value": pa.array(out, pa.float64())})
+        times = table["ts"].to_numpy()
+        low, high = frames(times[counted], times[~counted], window_us)
+        asked = table.filter(pa.array(~counted))
+        values = order_statistics(table["value"].to_numpy()[counted], low, high, asked["place"].to_numpy())
+        return pa.table({"row_id": asked["row_id"], "value": pa.array(values, pa.float64())})
 
     return easy.unionByName(tiled.groupBy("node", "tile").applyInArrow(answers, "row_id string, value double"))

@@ -1,4 +1,6 @@
-"""Boosted trees on Spark ML: training, scoring, importances and per-row attributions."""
+"""Boosted trees on Spark ML: training, scoring, importances and Shapley values per row."""
+
+from math import factorial
 
 import numpy as np
 import pandas as pd
@@ -58,7 +60,7 @@ def importances(spark, model, top=10):
 
 
 def tree_table(model):
-    """The ensemble as arrays: per tree its weight and, per node, feature, threshold, children and mean output.
+    """The ensemble as arrays: per tree its weight and, per node, feature, threshold, children, output and training rows.
 
     Its size is set by the number of trees and their depth, not by the data.
     """
@@ -72,7 +74,7 @@ def tree_table(model):
             inner = node.subtreeDepth() > 0
             feature = node.split().featureIndex() if inner else -1
             cut = node.split().threshold() if inner else 0.0
-            nodes.append([feature, cut, -1, -1, node.prediction()])
+            nodes.append([feature, cut, -1, -1, node.prediction(), node.impurityStats().count()])
             if parent is not None:
                 nodes[parent][2 + side] = at
             if inner:
@@ -81,33 +83,80 @@ def tree_table(model):
     return table
 
 
-def attribute(values, table):
-    """Margin, base value and signed contribution per feature: each step down a tree credits the feature it tests."""
-    n, k = values.shape
-    parts, base = np.zeros((n, k)), 0.0
+def leaf_paths(nodes):
+    """Per leaf: its output and, per feature tested on the way, (feature, low, high, share).
+
+    A row follows the feature's tests if its value is above ``low`` and at most ``high``; ``share`` is the part of the
+    training rows that follow them, each test's share among the rows that reach it.
+    """
+    pending = [(0, {})]
+    while pending:
+        at, tests = pending.pop()
+        feature, cut, left, right, value, rows = nodes[at]
+        if feature < 0:
+            yield value, [(int(f), *test) for f, test in tests.items()]
+            continue
+        low, high, share = tests.get(feature, (-np.inf, np.inf, 1.0))
+        for child, bounds in ((int(left), (low, min(high, cut))), (int(right), (max(low, cut), high))):
+            part = nodes[child, 5] / rows if rows > 0 else 0.5
+            pending.append((child, {**tests, feature: (*bounds, share * part)}))
+
+
+def leaf_credits(shares):
+    """Shapley values of a leaf of output 1: a row for every set of followed tests (bits), a column for every feature.
+
+    A feature's value is its own effect on the path's weight, averaged over all orders of the others. The weights of the
+    others by how many of them are known are the coefficients of the product of (share + followed * t).
+    """
+    m = len(shares)
+    followed = (np.arange(1 << m)[:, None] >> np.arange(m)) & 1
+    orders = np.array([factorial(s) * factorial(m - 1 - s) / factorial(m) for s in range(m)])
+    credits = np.empty((1 << m, m))
+    for j in range(m):
+        known = np.zeros((1 << m, m))
+        known[:, 0] = 1
+        for k in range(m):
+            if k != j:
+                more = known[:, :-1] * followed[:, k:k + 1]
+                known *= shares[k]
+                known[:, 1:] += more
+        credits[:, j] = (followed[:, j] - shares[j]) * (known @ orders)
+    return credits
+
+
+def leaf_table(table):
+    """Base value, and of every leaf: the features it depends on, their bounds, and its credits by followed tests."""
+    base, leaves = 0.0, []
     for weight, nodes in table:
-        at = np.zeros(n, dtype=int)
-        base += weight * nodes[0, 4]
-        while True:
-            feature = nodes[at, 0].astype(int)
-            rows = np.flatnonzero(feature >= 0)
-            if not len(rows):
-                break
-            here, tested = at[rows], feature[rows]
-            right = values[rows, tested] > nodes[here, 1]
-            child = np.where(right, nodes[here, 3], nodes[here, 2]).astype(int)
-            np.add.at(parts, (rows, tested), weight * (nodes[child, 4] - nodes[here, 4]))
-            at[rows] = child
+        for value, tests in leaf_paths(nodes):
+            shares = np.array([t[3] for t in tests])
+            base += weight * value * shares.prod()
+            if tests and value:
+                leaves.append(([t[0] for t in tests], [t[1:3] for t in tests], weight * value * leaf_credits(shares)))
+    return base, leaves
+
+
+def attribute(values, base, leaves):
+    """Margin, base value and the exact Shapley value of each feature (path-dependent: unknown features take the shares
+    of the training rows); base and values add up to the margin."""
+    parts = np.zeros(values.shape)
+    for names, bounds, credits in leaves:
+        followed = np.zeros(len(values), dtype=np.int64)
+        for bit, (name, (low, high)) in enumerate(zip(names, bounds)):
+            column = values[:, name]
+            followed |= ((column > low) & (column <= high)).astype(np.int64) << bit
+        parts[:, names] += credits[followed]
     return base + parts.sum(axis=1), base, parts
 
 
 def explain(model, rows, top=5):
-    """Base value, margin and contributions per row, with the strongest drivers up and down."""
+    """Base value, margin and Shapley values per row, with the strongest drivers up and down."""
     table, names = tree_table(model), list(fixed.FEATURES)
 
     def run(batches):
+        prepared = leaf_table(table)  # once a task: its size is that of the ensemble
         for pdf in batches:
-            margin, base, parts = attribute(pdf[names].to_numpy(dtype="float64"), table)
+            margin, base, parts = attribute(pdf[names].to_numpy(dtype="float64"), *prepared)
             yield pd.DataFrame({
                 "transaction_id": pdf["transaction_id"], "base_value": base, "margin": margin, "parts": list(parts)
             })

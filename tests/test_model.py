@@ -1,3 +1,6 @@
+import itertools
+from math import factorial
+
 import numpy as np
 import pytest
 
@@ -67,3 +70,48 @@ def test_model_score_enters_the_aggregate(trained, spark):
     assert np.allclose(got.ml_score, want.score) and np.allclose(got.anomaly_score, plain.anomaly_score)
     mixed = 0.5 * got.ml_score + 0.3 * got.anomaly_score + 0.2 * np.minimum(got.spike_ratio / 20, 1)
     assert np.allclose(got.overall_risk, np.clip(mixed, 0, 1), atol=1e-4) and not np.allclose(got.overall_risk, plain.overall_risk)
+
+
+def random_tree(rng, features, depth):
+    """Nodes as ``tree_table`` gives them: feature, threshold, left, right, output, training rows."""
+    nodes = []
+
+    def grow(rows, level):
+        at = len(nodes)
+        nodes.append([-1, 0.0, -1, -1, float(rng.normal()), float(rows)])
+        if level and rows > 1 and rng.random() < 0.9:
+            part = int(rng.integers(1, rows))
+            nodes[at][:4] = [int(rng.integers(features)), float(rng.normal()), grow(part, level - 1), grow(rows - part, level - 1)]
+        return at
+
+    grow(200, depth)
+    return np.array(nodes)
+
+
+def known_value(nodes, at, row, known):
+    """Output of a tree where only ``known`` features are, other tests take both sides by their training rows."""
+    feature, cut, left, right, value, rows = nodes[at]
+    if feature < 0:
+        return value
+    left, right = int(left), int(right)
+    if feature in known:
+        return known_value(nodes, left if row[int(feature)] <= cut else right, row, known)
+    return sum(nodes[c, 5] / rows * known_value(nodes, c, row, known) for c in (left, right))
+
+
+def test_shapley_values_are_those_of_the_definition():
+    rng = np.random.default_rng(8)
+    features = 4
+    table = [(w, random_tree(rng, features, 5)) for w in (1.0, 0.1, 0.1)]
+    values = rng.normal(size=(30, features))
+    margin, base, parts = model.attribute(values, *model.leaf_table(table))
+    subsets = [frozenset(c) for n in range(features + 1) for c in itertools.combinations(range(features), n)]
+    for row, got, total in zip(values, parts, margin):
+        worth = {s: sum(w * known_value(nodes, 0, row, s) for w, nodes in table) for s in subsets}
+        assert np.isclose(base, worth[frozenset()]) and np.isclose(total, worth[frozenset(range(features))])
+        for j in range(features):
+            want = sum(
+                factorial(len(s)) * factorial(features - 1 - len(s)) / factorial(features) * (worth[s | {j}] - worth[s])
+                for s in subsets if j not in s
+            )
+            assert np.isclose(got[j], want)

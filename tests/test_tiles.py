@@ -1,3 +1,5 @@
+import time
+
 import numpy as np
 import pytest
 
@@ -69,3 +71,38 @@ def test_time_quantile_and_rank(random_payments):
     ranked = tiled_rank(random_payments, [], tile_of("ts_us", fixed.HOUR_US), ["ts_us", "transaction_id"], "r", "n").toPandas()
     ordered = ranked.sort_values(["ts_us", "transaction_id"])
     assert ordered.r.tolist() == list(range(1, 401)) and set(ranked.n) == {400}
+
+
+def test_order_statistics_are_those_of_sorted_slices():
+    rng = np.random.default_rng(2)
+    for size in (1, 2, 3, 64, 65, 500):
+        values = rng.integers(0, size, size).astype(float)
+        low = rng.integers(0, size, 300)
+        high = low + 1 + rng.integers(0, size - low)
+        place = rng.integers(0, high - low)
+        got = medians.order_statistics(values, low, high, place)
+        assert got.tolist() == [sorted(values[a:b])[k] for a, b, k in zip(low, high, place)]
+
+
+def test_order_statistics_of_wide_frames_take_no_time_per_row_of_the_frame():
+    values = np.random.default_rng(3).random(200_000)
+    places = np.arange(200_000)
+    low, high = np.maximum(places - 100_000, 0), places + 1
+    begun = time.perf_counter()
+    got = medians.order_statistics(values, low, high, (high - low) // 2)
+    assert time.perf_counter() - begun < 5
+    for k in (0, 99_999, 150_000, 199_999):
+        assert got[k] == np.sort(values[low[k]:high[k]])[(high[k] - low[k]) // 2]
+
+
+def test_drifting_values_do_not_gather_in_one_node(spark):
+    """A value that rises with time lies in one range of the merchant's whole history at any hour."""
+    rows = spark.range(4000).selectExpr("'m' as merchant_id", "id * 7200000 as ts_us", "double(id) as amount", "string(id) as transaction_id")
+    window, tile, target = fixed.HOUR_US, 2 * fixed.HOUR_US, 100
+    got = local(medians.sliding_medians(rows, rows, "merchant_id", "ts_us", "amount", "transaction_id", "med", window, tile, target))
+    for row in got.itertuples():
+        assert row.med == np.arange(max(0, row.amount - 500), row.amount + 1).mean()
+    values, asked = medians.local_questions(rows, "merchant_id", "ts_us", "amount", "transaction_id", window, tile)
+    assert max(r["n"] for r in values.groupBy("node").agg({"node": "count"}).toDF("node", "n").collect()) > 1000
+    ranged, _ = medians.descend(values, asked, window)
+    assert max(r["n"] for r in ranged.groupBy("node").agg({"node": "count"}).toDF("node", "n").collect()) <= 2 * target
