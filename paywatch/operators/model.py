@@ -4,15 +4,19 @@ from math import factorial
 
 import numpy as np
 import pandas as pd
-from pyspark.ml import Pipeline
-from pyspark.ml.classification import GBTClassifier
+from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
+from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from paywatch import fixed
 from paywatch.operators.features import clean_matrix
 
+#: Trees without a better area after which boosting counts as done, and bins of the probability that the area is taken over.
+PATIENCE, AREA_BINS = 20, 1024
+
 
 def matrix(features):
     """Cleaned features with a double label."""
@@ -25,19 +29,98 @@ def with_weights(rows):
     return rows.crossJoin(F.broadcast(ratio)).selectExpr(*rows.columns, "if(label = 1, _ratio, 1D) as weight")
 
 
-def train(rows, validation=None, trees=200, depth=6, step=0.1, subsample=0.8, columns_share=0.8, seed=42):
-    """Fits the model; with validation rows, boosting stops once they no longer improve."""
-    data = with_weights(rows).withColumn("is_validation", F.lit(False))
-    extra = {}
-    if validation is not None:
-        checked = validation.withColumn("weight", F.lit(1.0)).withColumn("is_validation", F.lit(True))
-        data, extra = data.unionByName(checked.select(data.columns)), {"validationIndicatorCol": "is_validation"}
+def train(rows, validation=None, trees=200, depth=6, step=0.1, subsample=0.8, columns_share=0.8, seed=42, patience=PATIENCE):
+    """Fits the model; with validation rows it is cut to the trees that rank them best (``cut_trees``)."""
     assembler = VectorAssembler(inputCols=fixed.FEATURES, outputCol="vector")
     gbt = GBTClassifier(
         featuresCol="vector", labelCol="label", weightCol="weight", maxIter=trees, maxDepth=depth, stepSize=step,
-        subsamplingRate=subsample, featureSubsetStrategy=str(columns_share), seed=seed, **extra,
+        subsamplingRate=subsample, featureSubsetStrategy=str(columns_share), seed=seed,
+    )
+    fitted = Pipeline(stages=[assembler, gbt]).fit(with_weights(rows))
+    if validation is None:
+        return fitted
+    areas = prefix_areas(fitted, validation)
+    return first_trees(fitted, cut_trees(areas, patience)) if areas else fitted
+
+
+def prefix_margins(values, table):
+    """Yields the margin of every row after each tree."""
+    margin = np.zeros(len(values))
+    for weight, nodes in table:
+        at = np.zeros(len(values), dtype=int)
+        while True:
+            feature = nodes[at, 0].astype(int)
+            rows = np.flatnonzero(feature >= 0)
+            if not len(rows):
+                break
+            here = at[rows]
+            right = values[rows, feature[rows]] > nodes[here, 1]
+            at[rows] = np.where(right, nodes[here, 3], nodes[here, 2]).astype(int)
+        margin = margin + weight * nodes[at, 4]
+        yield margin
+
+
+def margin_bins(margin):
+    """Bins of equal width of the probability, highest first."""
+    return AREA_BINS - 1 - np.minimum((AREA_BINS / (1 + np.exp(-2 * margin))).astype(int), AREA_BINS - 1)
+
+
+def area_of(positives, others):
+    """Area under the precision-recall curve of counts per bin, highest scores first: trapezoids from (recall 0, precision 1)."""
+    hit, all_ = np.cumsum(positives), np.cumsum(positives + others)
+    if not len(hit) or hit[-1] == 0:
+        return 0.0
+    seen = positives + others > 0
+    precision, recall = np.r_[1.0, hit[seen] / all_[seen]], np.r_[0.0, hit[seen] / hit[-1]]
+    return float(((precision[1:] + precision[:-1]) / 2 * np.diff(recall)).sum())
+
+
+def prefix_areas(model, validation):
+    """The area on the validation rows after each tree, from one pass over them.
+
+    A task adds its rows to counts per (tree, bin, label), whose number is set by the trees; the sums of the tasks meet.
+    """
+    table, names = tree_table(model), list(fixed.FEATURES)
+
+    def run(batches):
+        counts = np.zeros((len(table), AREA_BINS, 2), dtype=np.int64)
+        for pdf in batches:
+            values, label = pdf[names].to_numpy(dtype="float64"), pdf["label"].to_numpy().astype(int)
+            for tree, margin in enumerate(prefix_margins(values, table)):
+                counts[tree] += np.bincount(margin_bins(margin) * 2 + label, minlength=AREA_BINS * 2).reshape(AREA_BINS, 2)
+        tree, place, label = np.nonzero(counts)
+        yield pd.DataFrame({"tree": tree, "place": place, "label": label, "n": counts[tree, place, label]})
+
+    rows = validation.select("label", *names).mapInPandas(run, "tree long, place long, label long, n long")
+    sums = rows.groupBy("tree", "place", "label").agg(F.sum("n").alias("n")).toPandas()
+    counts = np.zeros((len(table), AREA_BINS, 2))
+    counts[sums["tree"], sums["place"], sums["label"]] = sums["n"]
+    return [area_of(c[:, 1], c[:, 0]) for c in counts] if len(sums) else []
+
+
+def cut_trees(areas, patience=PATIENCE):
+    """How many trees to keep: up to the best area met before ``patience`` trees in a row have not improved it."""
+    best = 0
+    for tree, area in enumerate(areas):
+        if area > areas[best]:
+            best = tree
+        elif tree - best >= patience:
+            break
+    return best + 1
+
+
+def first_trees(model, count):
+    """The same pipeline with the first ``count`` trees only."""
+    gbt = model.stages[-1]
+    java, gateway = gbt._java_obj, SparkSession.active().sparkContext._gateway
+    trees = gateway.new_array(gateway.jvm.org.apache.spark.ml.regression.DecisionTreeRegressionModel, count)
+    weights = gateway.new_array(gateway.jvm.double, count)
+    for k, (tree, weight) in enumerate(zip(list(java.trees())[:count], gbt.treeWeights)):
+        trees[k], weights[k] = tree, float(weight)
+    cut = gateway.jvm.org.apache.spark.ml.classification.GBTClassificationModel(
+        gbt.uid, trees, weights, java.numFeatures(), java.numClasses()
     )
-    return Pipeline(stages=[assembler, gbt]).fit(data)
+    return PipelineModel([*model.stages[:-1], GBTClassificationModel(java.copyValues(cut, java.extractParamMap()))])
 
 
 def score(model, rows):

@@ -115,3 +115,33 @@ def test_shapley_values_are_those_of_the_definition():
                 for s in subsets if j not in s
             )
             assert np.isclose(got[j], want)
+
+
+def test_model_is_cut_where_its_area_is_best(trained):
+    """Areas of all prefixes against a plain loop that scores the rows with each shortened model."""
+    fitted, rows = trained
+    whole = model.train(rows.where("split = 'train'").drop("split"), None, trees=6, depth=3)
+    check_rows = rows.where("split = 'validation'").drop("split")
+    areas = model.prefix_areas(whole, check_rows)
+    assert len(areas) == 6
+    for count in (1, 3, 6):
+        short = model.first_trees(whole, count)
+        assert len(short.stages[-1].treeWeights) == count
+        got = model.score(short, check_rows).select("probability", "label").toPandas()
+        places = np.minimum((got.probability * model.AREA_BINS).astype(int), model.AREA_BINS - 1)
+        hits, total, before, area = 0, 0, (0.0, 1.0), 0.0
+        for place in sorted(set(places), reverse=True):
+            labels = got.label[places == place]
+            hits, total = hits + labels.sum(), total + len(labels)
+            point = (hits / got.label.sum(), hits / total)
+            area += (point[0] - before[0]) * (point[1] + before[1]) / 2
+            before = point
+        assert np.isclose(areas[count - 1], area)
+    assert 1 <= len(fitted.stages[-1].treeWeights) <= 10
+
+
+def test_patience_of_the_cut():
+    assert model.cut_trees([0.1, 0.3, 0.2, 0.25, 0.3, 0.9], patience=3) == 2
+    assert model.cut_trees([0.1, 0.3, 0.2, 0.25, 0.3, 0.9], patience=4) == 6
+    assert model.cut_trees([0.5], patience=1) == 1
+    assert model.area_of(np.array([1, 0]), np.array([0, 1])) == 1.0 and model.area_of(np.zeros(3), np.ones(3)) == 0.0
