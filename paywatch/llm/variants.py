@@ -3,7 +3,7 @@
 One inserted or deleted letter moves a word's letter counts by a squared distance of 1, one replaced letter by 2. So two
 words one edit apart lie at most two apart, in the same length or in adjacent ones.
 
-1. Words are dealt to cells by the counts of four classes of letters, whose sum is the length. One edit raises or lowers
+1. Words are dealt to cells by the counts of six classes of letters, whose sum is the length. One edit raises or lowers
    one class by one, or moves one from a class to another, so only such neighbour cells are compared, each pair of
    cells once.
 2. A cell is cut into blocks of about ``BLOCK`` words by hash, from its counted words; no block grows with the table. A
@@ -34,8 +34,11 @@ LOWER, UPPER = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 DIVISOR = 97
 MIN_LENGTH, MIN_COUNT, RATIO = 5, 3, 2
 BLOCK = 512
-#: Three classes of letters; all other letters are the fourth.
-CLASSES = ("aeiou", "lnrst", "bcdfghmp")
+#: Pairs whose edit is verified at once.
+VERIFIED = 1 << 17
+#: Five classes of letters; all other letters are the sixth.
+CLASSES = ("eo", "aiu", "lnr", "st", "bcdfgh")
+KINDS = [f"k{i}" for i in range(len(CLASSES) + 1)]
 #: Columns of the letter counts: a to z, and the range of accented letters.
 LETTERS = 26 + 64
 
@@ -55,27 +58,21 @@ def vocabulary(docs, text="text", key="doc_id", min_length=MIN_LENGTH, min_count
     return occurrences(docs, text, key).where((F.length("word") >= min_length) & (F.col("n") >= min_count))
 
 
-def _cell(counts):
-    return f"concat_ws('.', {', '.join(counts)})"
-
-
 def _neighbours():
-    """The later half of a cell's neighbours, itself included, as changes of the four counts."""
-    unit = [tuple(int(i == k) for i in range(4)) for k in range(4)]
-    inserted = unit
-    replaced = [tuple(a - b for a, b in zip(unit[i], unit[j])) for i in range(4) for j in range(4) if i < j]
-    return [(0, 0, 0, 0), *inserted, *replaced]
+    """The later half of a cell's neighbours, itself included, as changes of its counts."""
+    unit = [tuple(int(i == k) for i in range(len(KINDS))) for k in range(len(KINDS))]
+    replaced = [tuple(a - b for a, b in zip(unit[i], unit[j])) for i in range(len(KINDS)) for j in range(i + 1, len(KINDS))]
+    return [tuple([0] * len(KINDS)), *unit, *replaced]
 
 
 def blocks(words):
-    """(cell, block, words) with the words and counts of each block; written."""
-    kinds = [f"length(word) - length(translate(word, '{c}', ''))" for c in CLASSES]
-    counted = words.selectExpr("word", "n", *[f"{k} as k{i}" for i, k in enumerate(kinds)])
-    counted = counted.selectExpr("word", "n", "k0", "k1", "k2", "length(word) - k0 - k1 - k2 as k3")
-    sizes = counted.groupBy("k0", "k1", "k2", "k3").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("parts"))
-    dealt = counted.join(sizes, ["k0", "k1", "k2", "k3"]).withColumn("block", F.expr("pmod(xxhash64(word), parts)"))
-    packed = dealt.groupBy("k0", "k1", "k2", "k3", "block").agg(F.collect_list(F.struct("word", "n")).alias("words"))
-    return materialize(packed, "gram-blocks")
+    """The blocks of every cell: its counts, a number, the words joined by spaces, and their counts; written."""
+    counts = [f"length(word) - length(translate(word, '{c}', '')) as k{i}" for i, c in enumerate(CLASSES)]
+    counted = words.selectExpr("word", "n", *counts).withColumn(KINDS[-1], F.expr(f"length(word) - {' - '.join(KINDS[:-1])}"))
+    sizes = counted.groupBy(*KINDS).agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("parts"))
+    dealt = counted.join(sizes, KINDS).withColumn("block", F.expr("pmod(xxhash64(word), parts)"))
+    packed = dealt.groupBy(*KINDS, "block").agg(F.collect_list(F.struct("word", "n")).alias("words"))
+    return materialize(packed.selectExpr(*KINDS, "block", "array_join(words.word, ' ') as words", "words.n as ns"), "gram-blocks")
 
 
 def letter_counts(words):
@@ -87,54 +84,67 @@ def letter_counts(words):
     return np.bincount(owner * LETTERS + column, minlength=len(words) * LETTERS).reshape(-1, LETTERS).astype(np.float32)
 
 
-def one_edit(a, b):
-    """Whether two different words differ by exactly one inserted, deleted or replaced code point."""
-    if len(a) > len(b):
-        a, b = b, a
-    if len(b) - len(a) > 1:
-        return False
-    k = 0
-    while k < len(a) and a[k] == b[k]:
-        k += 1
-    return a != b and (a[k + 1:] == b[k + 1:] if len(a) == len(b) else a[k:] == b[k + 1:])
-
-
 def close_pairs(left, right):
     """Places of the words of both blocks whose letter counts are at most two apart (squared)."""
     x, y = letter_counts(left), letter_counts(right)
-    apart = (x * x).sum(1)[:, None] + (y * y).sum(1)[None, :] - 2 * (x @ y.T)
+    both = x.any(0) & y.any(0)
+    apart = (x[:, both] * -2) @ y[:, both].T
+    apart += (x * x).sum(1)[:, None]
+    apart += (y * y).sum(1)[None, :]
     return np.nonzero(apart <= 2)
 
 
+def one_edit(left, right, i, j):
+    """Of the pairs (i, j) of words of two blocks, which differ by exactly one code point replaced, or inserted on the right.
+
+    The words of a block are equally long, those of ``right`` as long as those of ``left`` or one longer.
+    """
+    a, b = (np.frombuffer("".join(w).encode("utf-32-le"), np.uint32).reshape(len(w), -1) for w in (left, right))
+    out = np.zeros(len(i), bool)
+    for start in range(0, len(i), VERIFIED):
+        at = slice(start, start + VERIFIED)
+        x, y = a[i[at]], b[j[at]]
+        if a.shape[1] == b.shape[1]:
+            out[at] = (x != y).sum(1) == 1
+        else:
+            before = np.logical_and.accumulate(x == y[:, :-1], axis=1).sum(1)
+            after = np.logical_and.accumulate((x == y[:, 1:])[:, ::-1], axis=1).sum(1)
+            out[at] = before + after >= x.shape[1]
+    return out
+
+
 def _products(batches):
     for batch in batches:
+        columns = [batch.column(c) for c in ("words", "ns", "others", "other_ns", "same")]
         for k in range(batch.num_rows):
-            (row,) = batch.slice(k, 1).to_pylist()
-            left, right = row["words"], row["others"]
-            names, others = [w["word"] for w in left], [w["word"] for w in right]
+            names, n, others, other_n, same = (c[k].as_py() for c in columns)
+            names, others = names.split(" "), others.split(" ")
             i, j = close_pairs(names, others)
-            if row["same"]:
+            if same:
                 later = i < j
                 i, j = i[later], j[later]
-            near = [(a, b) for a, b in zip(i.tolist(), j.tolist()) if one_edit(names[a], others[b])]
-            both = [(left[a], right[b]) for a, b in near] + [(right[b], left[a]) for a, b in near]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([w["word"] for w, _ in both], pa.string()), pa.array([o["word"] for _, o in both], pa.string()),
-                 pa.array([o["n"] for _, o in both], pa.int64())], ["word", "near", "near_n"],
-            )
+            near = one_edit(names, others, i, j)
+            if near.any():
+                pairs = list(zip(i[near].tolist(), j[near].tolist()))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([names[a] for a, _ in pairs] + [others[b] for _, b in pairs], pa.string()),
+                     pa.array([others[b] for _, b in pairs] + [names[a] for a, _ in pairs], pa.string()),
+                     pa.array([other_n[b] for _, b in pairs] + [n[a] for a, _ in pairs], pa.int64())], ["word", "near", "near_n"],
+                )
 
 
 def near_words(words):
     """(word, near, near_n) for every word and each of its near words."""
     packed = blocks(words)
-    steps = ", ".join(f"struct({', '.join(f'k{i} + {d} as k{i}' for i, d in enumerate(step))}, {str(not any(step)).lower()} as own)" for step in _neighbours())
-    asks = packed.selectExpr("words", "block", f"explode(array({steps})) as to").selectExpr(
-        "words", "block as first", "to.k0", "to.k1", "to.k2", "to.k3", "to.own"
+    steps = ", ".join(
+        f"struct({', '.join(f'{k} + {d} as {k}' for k, d in zip(KINDS, step))}, {str(not any(step)).lower()} as own)" for step in _neighbours()
+    )
+    asks = packed.selectExpr("words", "ns", "block as first", f"explode(array({steps})) as to").selectExpr(
+        "words", "ns", "first", "to.own", *[f"to.{k}" for k in KINDS]
     )
-    pairs = asks.join(packed.selectExpr("k0", "k1", "k2", "k3", "block", "words as others"), ["k0", "k1", "k2", "k3"])
-    pairs = pairs.where("not own or first <= block").selectExpr("words", "others", "own and first = block as same")
-    spread = pairs.repartition(F.xxhash64("words", "others"))
-    return spread.mapInArrow(_products, "word string, near string, near_n long")
+    pairs = asks.join(packed.selectExpr(*KINDS, "block", "words as others", "ns as other_ns"), KINDS)
+    pairs = pairs.where("not own or first <= block").selectExpr("words", "ns", "others", "other_ns", "own and first = block as same")
+    return pairs.repartition(F.xxhash64("words", "others")).mapInArrow(_products, "word string, near string, near_n long")
 
 
 def forms(words, ratio=RATIO):
