@@ -56,18 +56,20 @@ def active_merchants(merchants):
 
 @dataclass(frozen=True)
 class History:
-    """What a merchant's early payments teach: cut-off, rate and mean amount, known devices and customers."""
+    """What a merchant's early payments teach: cut-off, rate and mean amount, known devices and customers; and the usual hour
+    of all its payments."""
 
     cutoff: DataFrame
     base: DataFrame
     devices: DataFrame
     customers: DataFrame | None = None
+    hours: DataFrame | None = None
 
 
 def learn(payments, share=fixed.KNOWN_SHARE, customers=True):
     """Learns the history tables and stores them: the features read them several times and later runs may reuse them.
 
-    Scores do not look at customers, so that table can be left out.
+    Statistical scores do not look at customers and hours, so those tables can be left out.
     """
     cutoff = materialize(known_cutoff(payments, share), "cutoff")
     return History(
@@ -75,6 +77,7 @@ def learn(payments, share=fixed.KNOWN_SHARE, customers=True):
         materialize(baseline_first_share(payments, cutoff), "base"),
         materialize(known_values(payments, "device_id", cutoff), "devices"),
         materialize(known_values(payments, "customer_id", cutoff), "customers") if customers else None,
+        materialize(merchant_hours(payments), "hours") if customers else None,
     )
 
 

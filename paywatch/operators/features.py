@@ -257,7 +257,8 @@ def extract(payments, history=None, baseline_divisor=1.0):
     changes of methods, for the presence of devices and of customers, for the sliding sums and for the median.
     """
     history = baselines.learn(payments) if history is None else history
-    rows = with_baselines(payments, history.base).join(baselines.merchant_hours(payments), "merchant_id", "left")
+    hours = baselines.merchant_hours(payments) if history.hours is None else history.hours
+    rows = with_baselines(payments, history.base).join(hours, "merchant_id", "left")
     rows = baselines.flag_new(rows, history.devices, "device_id", "is_new_device")
     rows = baselines.flag_new(rows, history.customers, "customer_id", "is_new_customer")
     rows = with_methods(rows, payments)

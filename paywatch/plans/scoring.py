@@ -5,18 +5,24 @@ from paywatch.functions import risk
 from paywatch.operators import baselines, features, model
 
 
-def assess(rows, ml_score=None):
+def assess(rows, ml_score=None, version=fixed.MODEL_VERSION):
     """Scores feature rows. Without a trained model the anomaly score stands in for the model's probability."""
     scored = risk.detect_features(rows)
     scored = scored.selectExpr("*", f"round({ml_score or 'anomaly_score'}, 4) as ml_score")
-    return risk.aggregate(scored).selectExpr("*", f"'{fixed.MODEL_VERSION}' as model_version")
+    return risk.aggregate(scored).selectExpr("*", f"'{version}' as model_version")
 
 
-def score_payments(payments, history=None, trained=None):
-    """Scores of every payment; with a ``trained`` model its probability is the model score, from all 25 features."""
+def score_payments(payments, history=None, trained=None, version=fixed.MODEL_VERSION, keep=None):
+    """Scores of every payment; with a ``trained`` model its probability is the model score, from all 25 features.
+
+    ``keep``, ids of the payments to score, leaves the others to the frames only.
+    """
+    def kept(rows):
+        return rows if keep is None else rows.join(keep, "transaction_id", "left_semi")
+
     if trained is None:
-        return assess(features.score_inputs(payments, history))
+        return assess(kept(features.score_inputs(payments, history)), version=version)
     history = baselines.learn(payments) if history is None else history
-    judged = model.score(trained, model.matrix(features.extract(payments, history))).selectExpr("transaction_id as _id", "score as _ml")
-    inputs = features.score_inputs(payments, history)
-    return assess(inputs.join(judged, inputs["transaction_id"] == judged["_id"]), "_ml").drop("_id", "_ml")
+    judged = model.score(trained, model.matrix(kept(features.extract(payments, history)))).selectExpr("transaction_id as _id", "score as _ml")
+    inputs = kept(features.score_inputs(payments, history))
+    return assess(inputs.join(judged, inputs["transaction_id"] == judged["_id"]), "_ml", version).drop("_id", "_ml")

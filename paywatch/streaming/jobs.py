@@ -8,7 +8,7 @@ from pyspark.sql.streaming import StatefulProcessor
 
 from paywatch import fixed
 from paywatch.operators import alerts as alert_ops
-from paywatch.operators import baselines, features, profiles, sampling
+from paywatch.operators import baselines, profiles, sampling, versions
 from paywatch.plans import scoring
 from paywatch.session import materialize
 from paywatch.sources import streams
@@ -61,10 +61,18 @@ def suppress(candidates, window_us=fixed.DEDUP_WINDOW_US):
 
 
 def stored_since(spark, folder, oldest, batch_id):
-    """What earlier batches stored with event times from ``oldest`` on, a literal, so that older hours are skipped."""
-    hour = oldest // fixed.HOUR_US
-    rows = spark.read.option("basePath", folder).parquet(folder)
-    return rows.where((F.col(HOUR) >= hour) & (F.col("ts_us") >= oldest) & (F.col(sinks.BATCH) < batch_id)).drop(HOUR, sinks.BATCH)
+    """What earlier batches stored with event times from ``oldest`` on; None if nothing reaches so far.
+
+    Only the folders of these hours are listed, whatever was stored before them.
+    """
+    root = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    system = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    names = [s.getPath().getName() for s in system.listStatus(root)] if system.exists(root) else []
+    hours = [n for n in names if n.startswith(f"{HOUR}=") and int(n.split("=")[1]) >= oldest // fixed.HOUR_US]
+    if not hours:
+        return None
+    rows = spark.read.option("basePath", folder).parquet(*[os.path.join(folder, n) for n in hours])
+    return rows.where((F.col("ts_us") >= oldest) & (F.col(sinks.BATCH) < batch_id)).drop(HOUR, sinks.BATCH)
 
 
 def store(rows, folder, batch_id):
@@ -78,13 +86,16 @@ def first_deliveries(batch, folder, batch_id, oldest):
     once = sampling.dedup_events(batch).select(*batch.columns)
     if batch_id == 0:
         return once
-    known = stored_since(batch.sparkSession, folder, oldest, batch_id).select("transaction_id")
-    return once.join(known, "transaction_id", "left_anti").select(*batch.columns)
+    known = stored_since(batch.sparkSession, folder, oldest, batch_id)
+    return once if known is None else once.join(known.select("transaction_id"), "transaction_id", "left_anti").select(*batch.columns)
 
 
-def score_batch(batch, batch_id, path, history, levels=None):
+def score_batch(batch, batch_id, path, history, levels=None, models=None):
     """Scores one micro-batch with the batch feature definitions; with ``levels`` also raises its alerts.
 
+    ``models`` (``versions.InForce``) names the trained model of this batch: its probability is the model score, and its
+    version is stored with the scores. Before the first version the anomaly score stands in.
+
     A payment delivered again is passed over. The frames need the hour before the batch: those payments are read back
     from what earlier batches stored, so the stream and the batch job agree by construction and nothing is kept in
     executor memory. A payment that comes late does not change scores already given.
@@ -95,11 +106,11 @@ def score_batch(batch, batch_id, path, history, levels=None):
     if oldest is None:
         return
     fresh = materialize(first_deliveries(batch, folder, batch_id, oldest), "fresh")
-    rows = fresh
-    if batch_id > 0:
-        rows = fresh.unionByName(stored_since(spark, folder, oldest - LOOK_BACK_US, batch_id))
-    inputs = features.score_inputs(rows, history)
-    scored = scoring.assess(inputs.join(fresh.select("transaction_id"), "transaction_id", "left_semi"))
+    before = stored_since(spark, folder, oldest - LOOK_BACK_US, batch_id) if batch_id > 0 else None
+    rows = fresh if before is None else fresh.unionByName(before)
+    version, trained = models.get(spark) if models else (None, None)
+    named = fixed.MODEL_VERSION if version is None else f"gbt-{version}"
+    scored = scoring.score_payments(rows, history, trained, named, fresh.select("transaction_id"))
     if levels:
         scored = materialize(scored, "scored")
         raise_alerts(scored, alerts_path, os.path.join(path, "messages"), batch_id, oldest, levels)
@@ -116,18 +127,21 @@ def raise_alerts(scored, alerts_path, messages_path, batch_id, oldest, levels, w
     found = alert_ops.candidates(scored, levels)
     if batch_id > 0:
         before = stored_since(scored.sparkSession, alerts_path, oldest - window_us, batch_id)
-        last = before.groupBy("merchant_id").agg(F.max("ts_us").alias("last_us"))
-        found = found.join(last, "merchant_id", "left").where(f"last_us is null or ts_us > last_us + {window_us}").drop("last_us")
+        if before is not None:
+            last = before.groupBy("merchant_id").agg(F.max("ts_us").alias("last_us"))
+            found = found.join(last, "merchant_id", "left").where(f"last_us is null or ts_us > last_us + {window_us}").drop("last_us")
     raised = materialize(alert_ops.build(alert_ops.dedup(materialize(found, "candidates"))).withColumn("ts_us", F.col("created_us")), "raised")
     store(raised, alerts_path, batch_id)
     streams.alert_messages(raised).select("value").write.mode("overwrite").text(os.path.join(messages_path, f"{sinks.BATCH}={batch_id}"))
 
 
-def run_scoring(stream, path, history, levels=None):
+def run_scoring(stream, path, history, levels=None, models=None):
     """Drains a payment stream into the stored transactions, features and assessments, and with ``levels`` into alerts
-    and alert messages."""
+    and alert messages. ``models`` is a folder of model versions: each micro-batch takes the one then in force."""
+    in_force = versions.InForce(models) if models else None
+
     def write(batch, folder, batch_id):
-        score_batch(batch, batch_id, folder, history, levels)
+        score_batch(batch, batch_id, folder, history, levels, in_force)
 
     return sinks.drain(stream, path, write=write)
 
