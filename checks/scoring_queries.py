@@ -1,5 +1,7 @@
 """Scores, classes, evaluation models, labels and what-if scenarios."""
 
+import os
+
 from pyspark.sql import functions as F
 
 from paywatch import fixed
@@ -286,9 +288,16 @@ def label_patterns(spark, d):
 _FITTED = {}
 
 
+def state_of(spark, path):
+    """Names, sizes and times of a table's files, by which a changed table is known."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    found = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(place)
+    return tuple(sorted((s.getPath().toString(), s.getLen(), s.getModificationTime()) for s in found))
+
+
 def fitted(spark, d):
     """The trained model and the cleaned features with their split. Training takes minutes, so a session fits a table once."""
-    key = (spark.sparkContext.applicationId, d)
+    key = (spark.sparkContext.applicationId, state_of(spark, os.path.join(d, "events.parquet")))
     if key not in _FITTED:
         payments = dense(spark, d)
         rows = materialize(model.matrix(time_split(features.extract(payments, learned(spark, d)))), "matrix")

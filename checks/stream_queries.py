@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from paywatch import fixed
 from paywatch.operators import alerts as alert_ops
-from paywatch.operators import baselines, sampling
+from paywatch.operators import baselines, sampling, versions
 from paywatch.plans import scoring
 from paywatch.session import materialize, new_path, use_utc
 from paywatch.sources import streams, tables
@@ -16,6 +16,7 @@ from checks.alert_queries import AUDITS, audits, evidence_sql
 from checks.base_sql import DENSE, EVENT, MERCHANTS, alerts_sql, scored_sql, sql
 from checks.feature_queries import SEVEN
 from checks.registry import TEST_LEVELS, alerts, check, dense, event, learned, merchants, r6, rounded, scored, stored_scores
+from checks.scoring_queries import fitted
 from checks.table_queries import BAD, damaged
 
 
@@ -151,6 +152,16 @@ def stream_score(spark, d):
     return rows.select("transaction_id", "anomaly_score", "spike_ratio", "overall_risk", "risk_level")
 
 
+@check("stream_score_with_model")
+def stream_score_with_model(spark, d):
+    """Payments scored as they arrive by the stored model in force, which each micro-batch asks for."""
+    path, models = new_path(spark, "stream-scores"), new_path(spark, "models")
+    versions.store(spark, fitted(spark, d)[0], models, 1)
+    jobs.run_scoring(event_stream(spark, d), path, learned(spark, d), models=models)
+    rows = spark.read.parquet(os.path.join(path, "data", "scored", "assessments"))
+    return rows.select("transaction_id", "ml_score", "anomaly_score", "spike_ratio", "overall_risk", "risk_level", "model_version")
+
+
 @check("stream_alerts", alerts_sql(
     "select alert_id, merchant_id, round(risk_score, 4) as risk_score, risk_level, created_us as ts_us from alerts"))
 def stream_alerts(spark, d):

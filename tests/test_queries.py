@@ -47,4 +47,4 @@ def test_registry():
     assert set(entry.oracle_sql()) < set(entry.queries())
     from checks import ORACLES, QUERIES
 
-    assert set(QUERIES) - set(ORACLES) == {"gbt_train", "gbt_score", "score_with_model", "feature_importance", "explain_trees"}
+    assert set(QUERIES) - set(ORACLES) == {"gbt_train", "gbt_score", "score_with_model", "stream_score_with_model", "feature_importance", "explain_trees"}
