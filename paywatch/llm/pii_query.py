@@ -13,10 +13,15 @@ def written(spans):
     return F.array_join(F.transform(spans, one), ",")
 
 
+def of_kind(spans, kind):
+    """How many spans are of the kind. A second parameter of the function would be the place in the array."""
+    return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long")
+
+
 @query("op5_personal_data")
 def personal_data(spark, folder):
     """Spans of every document; counts and digest are those of the patterns alone."""
     docs = pii.found(table(spark, folder, "documents").select("doc_id", "text"))
     base = F.filter("pii", lambda s: ~s["added"])
-    counts = [F.size(F.filter(base, lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{name}") for k, name in enumerate(pii.KINDS)]
+    counts = [of_kind(base, k).alias(f"n_{name}") for k, name in enumerate(pii.KINDS)]
     return docs.select("doc_id", *counts, F.sha2(written(base), 256).alias("base_sha256"), written(F.col("pii")).alias("spans"))

@@ -275,6 +275,26 @@ def test_personal_data_of_odd_texts(spark):
     assert pii.found(docs.limit(0)).count() == 0
 
 
+def test_personal_data_query_counts_each_kind(spark, tmp_path):
+    import hashlib
+
+    from paywatch.llm.pii_query import personal_data
+
+    rng = random.Random(4)
+    parts = ["a@b.cd", "10.0.0.1", "300.1.1.1", "4111 1111 1111 1111", "4111111111111112", "+1 (415) 555-0123", "+12", "é\U0001f600", "word\n", "(415) 555-0123"]
+    rows = [(1, None), (2, ""), (3, "no"), (4, "a@b.cd b@c.de 1.2.3.4 4111111111111111 +14155550123 +14155550124")]
+    rows += [(k, " x ".join(rng.choices(parts, k=rng.randint(1, 8)))) for k in range(5, 60)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: r for r in personal_data(spark, str(tmp_path)).collect()}
+    assert len(got) == len(rows)
+    for key, text in rows:
+        want = sorted((m.start(), k, m.end()) for k, (p, good) in enumerate(BASE) for m in p.finditer(text or "") if good(m[0]))
+        row = got[key]
+        assert [row.n_email, row.n_ip, row.n_card, row.n_phone] == [sum(s[1] == k for s in want) for k in range(4)], text
+        joined = ",".join(f"{pii.KINDS[k]}:{a}:{b}" for a, k, b in want)
+        assert row.base_sha256 == hashlib.sha256(joined.encode()).hexdigest(), text
+
+
 ARTICLE = (
     "<h1>Title here</h1><p>First paragraph of the article, long enough &amp; more.</p><p>Short.</p><p>Another <b>bo</b>ld paragraph"
     " with<br>many\n  words that make up the body, quite long.</p>"
