@@ -24,7 +24,7 @@ with the same set are one class; only classes are joined.
 Every link is verified on the exact sets.
 
 Defined results: a null text, an empty one and one without words have an empty set, are linked with nothing and are their
-own component (by id); fewer than five words are one run; copies of a set are linked; a null id is the largest id; rows that
+own component (by id); fewer than five words are one run; copies of a set are linked, and sets of fewer than four runs with copies only; a null id is the largest id; rows that
 repeat an id are documents of their own that share it; an empty table gives an empty result. Extra columns take no part.
 """
 
@@ -37,6 +37,8 @@ from paywatch.llm.components import components
 from paywatch.session import materialize
 
 WORDS = 5
+#: Runs of the smallest set that links with another than its copies: 4 of 5 runs are 0.8.
+LEAST_RUNS = 4
 LAST = (1 << 63) - 1
 #: Share of the number range that the first sieve counts, and numbers that a shard holds on average.
 SIEVE = 0.3
@@ -217,9 +219,9 @@ def _itemised(length):
 
 
 def _candidates(texts, described, length):
-    """Classes that may link: (cls, n, n_low, bits, items, lone), written. A class may stand there more than once."""
+    """Classes that may link, each once: (cls, n, n_low, bits, items, lone), written."""
     total = described.agg(F.sum("n")).first()[0] or 0
-    first = described.where(F.col("n") >= WORDS).groupBy("cls").agg(F.min("doc").alias("doc"), F.first("n").alias("n"))
+    first = described.where(F.col("n") >= LEAST_RUNS).groupBy("cls").agg(F.min("doc").alias("doc"), F.first("n").alias("n"))
     sieved = first.join(lone_counts(texts, total, SIEVE, length), "cls", "left").where("coalesce(lone, 0) <= n div 5")
     sieved = materialize(sieved.select("cls", "doc"), "jaccard-sieved")
     # The classes left grow with the table, so they are not broadcast at any size.
@@ -227,7 +229,9 @@ def _candidates(texts, described, length):
     found = materialize(found, "jaccard-items")
     total = found.agg(F.sum("n")).first()[0] or 0
     counted = found.join(lone_counts(found.select("cls", "items"), total, 1, length), "cls", "left")
-    return materialize(counted.withColumn("lone", F.coalesce("lone", F.lit(0))).where("lone <= n div 5"), "jaccard-candidates")
+    counted = counted.withColumn("lone", F.coalesce("lone", F.lit(0))).where("lone <= n div 5")
+    # Rows that repeat an id and a text bring their class twice, and runs would look held by others.
+    return materialize(counted.dropDuplicates(["cls"]), "jaccard-candidates")
 
 
 def ordered(candidates):
@@ -246,7 +250,7 @@ def ordered(candidates):
     return materialize(joined.selectExpr(
         "cls", "n", "lone", "size(shared) as known",
         f"concat(shared.run, slice(items, int(n_low) + 1, int(if({missing} > 0, {missing} + lone, 0)))) as runs", "shared.held as held",
-    ).distinct(), "jaccard-ordered")
+    ), "jaccard-ordered")
 
 
 def boundary(sets_, sizes=LIGHT_SIZES):
@@ -387,9 +391,7 @@ def _blocks(members, whole):
 def links(candidates):
     """Verified links (a, b) between classes that join all classes of a component."""
     order = ordered(candidates)
-    needed = candidates.join(order.select("cls").distinct(), "cls", "left_semi")
-    whole = materialize(needed.select("cls", "n", "bits", "items").dropDuplicates(["cls"]), "jaccard-sets")
-    bits, items = whole.select("cls", "n", "bits"), whole.select("cls", "n", "items")
+    bits, items = candidates.select("cls", "n", "bits"), candidates.select("cls", "n", "items")
     members = buckets(order, boundary(order))
     found = _stars(members.withColumn("label", F.col("cls")), items)
     labelled = materialize(_labelled(members, found), "jaccard-labels")

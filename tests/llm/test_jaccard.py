@@ -100,3 +100,26 @@ def test_what_a_bucket_emits_is_linear(spark):
         order = jaccard.ordered(jaccard._candidates(texts, described, 5))
         seen.append(jaccard.buckets(order, 0).count())
     assert seen[1] <= 2.3 * max(seen[0], 1)
+
+
+@pytest.mark.parametrize("sizes", [jaccard.LIGHT_SIZES, (0,)])
+def test_four_runs_link_with_five(spark, monkeypatch, sizes):
+    monkeypatch.setattr(jaccard.boundary, "__defaults__", (sizes,))
+    texts = ["a b c d e f g h", "a b c d e f g h i", "z a b c d e f g h", "k l m n o p q", "k l m n o p q r", "s t u v w", "s t u v w x"]
+    rows = [(k, t) for k, t in enumerate(texts)]
+    got = jaccard.joined(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(map(tuple, got)) == brute(rows) and [r[2] for r in sorted(got)] == [0, 0, 0, 3, 4, 5, 6]
+
+
+@pytest.mark.parametrize("sizes", [jaccard.LIGHT_SIZES, (0,)])
+def test_repeated_rows_keep_their_links(spark, monkeypatch, sizes):
+    """A run held by one class alone stays alone when the class's row is there several times."""
+    monkeypatch.setattr(jaccard.boundary, "__defaults__", (sizes,))
+    rng = random.Random(8)
+    rows = []
+    for k in range(40):
+        words = [f"w{k}x{n}" for n in range(rng.choice([40, 90, 200]))]
+        cut = len(words) // 9 - 1
+        rows += [(10 * k, " ".join(words))] * 3 + [(10 * k + 1, " ".join(words[:-cut] + [f"end{k}"]))] * 2
+    got = jaccard.joined(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()
+    assert sorted(map(tuple, got), key=repr) == brute(rows)
