@@ -16,9 +16,9 @@ with the same set are one class; only classes are joined.
 4. **Buckets.** Each class is compared with one other that most of its buckets name; links give labels. Buckets that still
    hold several labels compare, by blocks inside a task, the sets outside the largest label with the others, where sizes,
    roles and places allow a link. First with 2,048 parity bits of each set, of which linked sets differ in no more than
-   they differ in runs: the closest other of each label met is verified, which joins most labels. Then only sets that the
-   bits still leave a partner of another label are brought together whole. A set gives one link per label met. No bucket
-   is cut, and what a bucket emits is linear in its sets.
+   they differ in runs: the closest pairs that tie a block's labels together are verified, which joins most labels. Then
+   only sets that the bits still leave a partner of another label are brought together whole, and of the links found those
+   that tie labels together are kept. No bucket is cut, and a block emits fewer rows than it has labels.
 5. Components of the links, by alternating stars.
 
 Every link is verified on the exact sets.
@@ -331,15 +331,48 @@ def _by_bits(table):
             yield own, u, able[good], apart[good]
 
 
+def _forest(own, left, right):
+    """Links (a, b) between rows of a block, given best first, without those whose labels earlier ones tie together already.
+
+    Fewer are left than there are labels. Each round takes the first link of every tree.
+    """
+    _, label = np.unique(own["label"], return_inverse=True)
+    root, kept, at = np.arange(len(label)), [], np.arange(len(left))
+    while True:
+        a, b = root[label[left[at]]], root[label[right[at]]]
+        at, a, b = at[a != b], a[a != b], b[a != b]
+        if not len(at):
+            break
+        _, first = np.unique(np.stack([a, b], 1), return_index=True)
+        for k in np.unique(first // 2).tolist():
+            x, y = a[k], b[k]
+            while root[x] != x:
+                x = root[x]
+            while root[y] != y:
+                y = root[y]
+            root[max(x, y)] = min(x, y)
+            kept.append(at[k])
+        while (root[root] != root).any():
+            root = root[root]
+    kept = np.array(kept, np.int64)
+    return pa.table({"a": pa.array(own["cls"][left[kept]], pa.int64()), "b": pa.array(own["cls"][right[kept]], pa.int64())})
+
+
+def _joined(parts):
+    return np.concatenate([np.zeros(0, np.int64), *parts])
+
+
 def _closest(table):
-    """Pairs (a, b) of an outside set and the closest other of each label that its bits allow."""
-    left, right = [], []
-    for own, u, able, apart in _by_bits(table):
+    """The closest pairs (a, b) that bits allow and that tie the labels of a block together."""
+    own, left, right, distance = _columns(table), [], [], []
+    for _, u, able, apart in _by_bits(table):
         order = np.lexsort((own["cls"][able], apart))
         _, first = np.unique(own["label"][able[order]], return_index=True)
-        left += [own["cls"][u]] * len(first)
-        right += own["cls"][able[order[first]]].tolist()
-    return pa.table({"a": pa.array(left, pa.int64()), "b": pa.array(right, pa.int64())})
+        left.append(np.full(len(first), u))
+        right.append(able[order[first]])
+        distance.append(apart[order[first]])
+    order = np.argsort(_joined(distance), kind="stable")
+    return _forest(own, _joined(left)[order], _joined(right)[order])
 
 
 def _open(table):
@@ -351,7 +384,7 @@ def _open(table):
 
 
 def _compared(table):
-    """Links between the outside sets of a block and the others: one per set and label met."""
+    """Links between the outside sets of a block and the others that tie its labels together."""
     own = _columns(table)
     _, number = np.unique(table["items"].combine_chunks().flatten().to_numpy(), return_inverse=True)
     ends = np.cumsum(own["n"])
@@ -369,9 +402,9 @@ def _compared(table):
         flag[:] = 0
         good = able[9 * common >= 4 * (n + own["n"][able])]
         _, first = np.unique(own["label"][good], return_index=True)
-        left += [own["cls"][u]] * len(first)
-        right += own["cls"][good[first]].tolist()
-    return pa.table({"a": pa.array(left, pa.int64()), "b": pa.array(right, pa.int64())})
+        left.append(np.full(len(first), u))
+        right.append(good[first])
+    return _forest(own, _joined(left), _joined(right))
 
 
 def _blocks(members, whole):

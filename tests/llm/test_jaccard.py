@@ -123,3 +123,26 @@ def test_repeated_rows_keep_their_links(spark, monkeypatch, sizes):
         rows += [(10 * k, " ".join(words))] * 3 + [(10 * k + 1, " ".join(words[:-cut] + [f"end{k}"]))] * 2
     got = jaccard.joined(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()
     assert sorted(map(tuple, got), key=repr) == brute(rows)
+
+
+def test_blocks_emit_fewer_links_than_labels():
+    import numpy as np
+    import pyarrow as pa
+
+    sets = 200
+    runs = np.concatenate([np.r_[np.arange(95), 1000 + 5 * k + np.arange(5)] for k in range(sets)]).astype(np.int64)
+    parity = np.zeros((sets, jaccard.BITS), np.uint8)
+    for k in range(sets):
+        np.add.at(parity[k], runs[100 * k:100 * k + 100] % jaccard.BITS, 1)
+    bits = [row.tobytes() for row in np.packbits(parity & 1, axis=1)]
+    both = {"cls": list(range(sets)) * 2, "label": list(range(sets)) * 2, "n": [100] * 2 * sets, "place": [0] * 2 * sets, "small": [True] * 2 * sets,
+            "outside": [k % sets > 0 for k in range(2 * sets)], "side": [1] * sets + [0] * sets, "bits": bits * 2}
+    out = [k for k in range(2 * sets) if k < sets or k > sets]
+    table = pa.table({c: pa.array([v[k] for k in out]) for c, v in both.items()})
+    items = [runs[100 * (k % sets):100 * (k % sets) + 100].tolist() for k in out]
+    for found in (jaccard._closest(table), jaccard._compared(table.append_column("items", pa.array(items, pa.list_(pa.int64()))))):
+        parent = list(range(sets))
+        for a, b in zip(found["a"].to_pylist(), found["b"].to_pylist()):
+            old, new = parent[a], parent[b]
+            parent = [new if p == old else p for p in parent]
+        assert found.num_rows == sets - 1 and len(set(parent)) == 1
