@@ -15,7 +15,13 @@ SPAN_BLOCKS = 24
 
 
 def candidates(assessed, levels=tuple(fixed.ALERT_LEVELS)):
-    return assessed.where(F.col("risk_level").isin(*levels))
+    """Payments of these levels.
+
+    A filter on the level itself would be pushed below the scores and spell them out again wherever the level reads them,
+    for every payment; on the generated column it takes the level as computed once.
+    """
+    levelled = assessed.select("*", F.explode(F.array("risk_level")).alias("_level"))
+    return levelled.where(F.col("_level").isin(*levels)).drop("_level")
 
 
 def dedup(rows, window_us=fixed.DEDUP_WINDOW_US, block_us=BLOCK_US):

@@ -3,6 +3,7 @@ import random
 import pytest
 
 from paywatch import fixed
+from paywatch.plans import scoring
 from paywatch.operators import alerts, ledger, policy
 from paywatch.functions.hashing import hmac_sha256
 
@@ -139,3 +140,15 @@ def test_late_entry_changes_its_chain_only(spark):
     old, new = (ledger.chain(ledger.entries(r, lanes=4), "key").toPandas().set_index("id") for r in (rows.where("audit_id <> 'a05'"), rows))
     changed = {c for c in new.chain_id.unique() if list(new[new.chain_id == c].integrity_hash) != list(old[old.chain_id == c].integrity_hash)}
     assert len(changed) == 1
+
+
+def test_candidates_do_not_spell_the_scores_out_again(random_payments):
+    scored = scoring.score_payments(random_payments)
+
+    def size(df):
+        return len(df._jdf.queryExecution().optimizedPlan().toString())
+
+    found = alerts.candidates(scored, ["medium", "high", "critical"])
+    assert size(found) < 1.2 * size(scored)
+    wanted = sorted(r.transaction_id for r in scored.collect() if r.risk_level in ("medium", "high", "critical"))
+    assert wanted and sorted(r.transaction_id for r in found.collect()) == wanted and found.columns == scored.columns
