@@ -16,7 +16,7 @@ from checks.alert_queries import AUDITS, audits, evidence_sql
 from checks.base_sql import DENSE, EVENT, MERCHANTS, alerts_sql, scored_sql, sql
 from checks.feature_queries import SEVEN
 from checks.registry import TEST_LEVELS, alerts, check, dense, event, learned, merchants, r6, rounded, scored, stored_scores
-from checks.scoring_queries import fitted
+from checks.scoring_queries import extracted, fitted
 from checks.table_queries import BAD, damaged
 
 
@@ -157,7 +157,7 @@ def stream_score_with_model(spark, d):
     """Payments scored as they arrive by the stored model in force, which each micro-batch asks for."""
     path, models = new_path(spark, "stream-scores"), new_path(spark, "models")
     versions.store(spark, fitted(spark, d)[0], models, 1)
-    jobs.run_scoring(event_stream(spark, d), path, learned(spark, d), models=models)
+    jobs.run_scoring(event_stream(spark, d), path, extracted(spark, d)[0], models=models)
     rows = spark.read.parquet(os.path.join(path, "data", "scored", "assessments"))
     return rows.select("transaction_id", "ml_score", "anomaly_score", "spike_ratio", "overall_risk", "risk_level", "model_version")
 

@@ -145,3 +145,40 @@ def test_patience_of_the_cut():
     assert model.cut_trees([0.1, 0.3, 0.2, 0.25, 0.3, 0.9], patience=4) == 6
     assert model.cut_trees([0.5], patience=1) == 1
     assert model.area_of(np.array([1, 0]), np.array([0, 1])) == 1.0 and model.area_of(np.zeros(3), np.ones(3)) == 0.0
+
+
+@pytest.mark.parametrize("patience", [1, 3])
+def test_training_ends_when_the_cut_is_settled(trained, monkeypatch, patience):
+    """The same trees as cutting the whole ensemble, without growing all of it (before: always all 16)."""
+    rows = trained[1]
+    train, check = (rows.where(f"split = '{s}'").drop("split") for s in ("train", "validation"))
+    areas = model.prefix_areas(model.train(train, None, trees=16, depth=2), check)
+    grown, classifier = [], model.GBTClassifier
+    monkeypatch.setattr(model, "GBTClassifier", lambda **named: grown.append(named["maxIter"]) or classifier(**named))
+    got = model.train(train, check, trees=16, depth=2, patience=patience)
+    want = model.first_trees(model.train(train, None, trees=16, depth=2), model.cut_trees(areas, patience))
+    pairs = list(zip(model.tree_table(got), model.tree_table(want), strict=True))
+    assert all(a[0] == b[0] and np.array_equal(a[1], b[1]) for a, b in pairs)
+    lengths = model.growth(16, patience)
+    settled = [n for n in lengths if n - model.cut_trees(areas[:n], patience) >= patience]
+    assert grown[:-1] == lengths[:lengths.index(settled[0] if settled else 16) + 1]
+
+
+def test_growth_reaches_all_trees():
+    assert model.growth(200, 20) == [21, 84, 200] and model.growth(10, 20) == [10] and model.growth(21, 20) == [21]
+
+
+def test_stored_features_are_not_computed_again(trained, spark):
+    """Before: features and statistical scores were computed anew for scores by a model."""
+    from paywatch.operators import baselines
+    from paywatch.plans import scoring
+
+    payments = tables.payments(spark, "/root/testdata/sf0.001", "dense")
+    history = baselines.learn(payments)
+    stored = materialize(features.extract(payments, history), "features")
+    scored = scoring.score_payments(payments, history, trained[0], extracted=stored)
+    assert "Window" not in scored._jdf.queryExecution().executedPlan().toString()
+    assert set(scored.columns) == set(scoring.score_payments(payments, history).columns)
+    want = scoring.score_payments(payments, history, trained[0]).toPandas().set_index("transaction_id").sort_index()
+    got = scored.toPandas().set_index("transaction_id").sort_index()[want.columns]
+    assert got.equals(want)
