@@ -60,3 +60,21 @@ def test_curve_of_close_scores(spark):
     want = sum((b - a) * (u + v) / 2 for a, b, u, v in zip([0, *r[:-1]], r, [1, *p[:-1]], p))
     assert evaluation.pr_auc(counts).first().pr_auc == pytest.approx(want, abs=6e-5)
     assert evaluation.pr_auc(counts, tiles=2).first().pr_auc == evaluation.pr_auc(counts).first().pr_auc
+
+
+@pytest.mark.parametrize("tiles", [2, 3, 7, 256])
+def test_curve_joins_its_cuts_without_moving_the_scores(spark, tiles):
+    """Before, the scores could be joined to the cuts by model, which brings all scores of a model to one task."""
+    rows = [("ab"[i % 2], i * 7 % 13 % 2, (i * 37 % 500) / 500, 1) for i in range(1500)]
+    frame = spark.createDataFrame(rows, "model string, label int, score double, prediction int")
+    counts = evaluation.outcome_counts(frame)
+    want = {r.model: r.pr_auc for r in evaluation.pr_auc(counts, tiles=1000).collect()}
+    found = evaluation.pr_auc(counts, tiles=tiles)
+    assert {r.model: r.pr_auc for r in found.collect()} == want
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = evaluation.pr_auc(counts, tiles=tiles)._jdf.queryExecution().sparkPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    assert "BroadcastHashJoin [model" in plan
