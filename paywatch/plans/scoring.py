@@ -1,4 +1,4 @@
-"""Payments to scores, levels and alerts, in one lazy plan."""
+"""Payments to scores, levels and alerts."""
 
 from paywatch import fixed
 from paywatch.functions import risk

@@ -106,3 +106,28 @@ def test_drifting_values_do_not_gather_in_one_node(spark):
     assert max(r["n"] for r in values.groupBy("node").agg({"node": "count"}).toDF("node", "n").collect()) > 1000
     ranged, _ = medians.descend(values, asked, window)
     assert max(r["n"] for r in ranged.groupBy("node").agg({"node": "count"}).toDF("node", "n").collect()) <= 2 * target
+
+
+def test_exact_parts_stand_for_their_sum(spark):
+    from decimal import Decimal
+
+    values = [0.1, -0.1, -0.1234567891, 1e9, -1e9 - 0.25, 123456789012.125, -7.0, 0.0, 399999.99] * 3
+    texts = features.exact_parts("a", "v")
+    frame = spark.createDataFrame([(v,) for v in [*values, float("nan"), float("inf"), None]], "v double").selectExpr("v", *[f"{e} as {n}" for n, e in texts.items()])
+    sums = frame.selectExpr(*[f"sum({n}) as {n}" for n in texts]).selectExpr("*", f"{features.sum_of('a')} as total").first()
+    want = sum(Decimal(str(v)) for v in values)
+    assert Decimal(sums.a_high) * 10**9 + sums.a_low + Decimal(sums.a_part) / 10**10 == want
+    assert sums.total == pytest.approx(float(want), rel=1e-15)
+    first = frame.where("v = -7").first()
+    assert (first.a_high, first.a_low, first.a_part) == (0, -7, 0)
+    large = spark.createDataFrame([(1.5e20,), (-3e16,)], "v double").selectExpr("v", *[f"{e} as {n}" for n, e in texts.items()])
+    assert all(r.total == pytest.approx(r.v, rel=1e-15) for r in large.selectExpr("v", f"{features.sum_of('a')} as total").collect())
+
+
+def test_presence_and_method_counts_are_computed_once(random_payments):
+    """Before, the two readings of the sliding sums each computed the presence of devices, customers and methods."""
+    from paywatch.plans import scoring
+
+    for rows in (features.extract(random_payments), scoring.score_payments(random_payments)):
+        plan = rows._jdf.queryExecution().executedPlan().toString()
+        assert "lag(" not in plan and "decimal" not in plan
