@@ -9,8 +9,9 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from checks import ORACLES, PARTS, scoring_queries
+from checks import ORACLES, PARTS, registry, scoring_queries
 from paywatch.operators import evaluation, model
+from paywatch.streaming import jobs
 
 
 @pytest.fixture(scope="module")
@@ -63,3 +64,23 @@ def test_comparison_equals_its_sql_where_sql_can_say_it(spark, folder, monkeypat
     rows = {r[0]: r for r in said.order("model").fetchall()}
     assert said.columns[0] == "model" and list(rows) == ["threshold", "zscore"]
     assert {r.model: tuple(r) for r in found.select(*said.columns).collect()} == rows
+
+
+def test_alert_stream_delivers_the_whole_table_and_its_first_half_twice(spark, folder, monkeypatch):
+    """Before: only the last 30 minutes of the first half came again, and payments without a time never came."""
+    came, score_batch = [], jobs.score_batch
+
+    def watched(batch, *rest):
+        came.append(sorted(r.transaction_id for r in batch.select("transaction_id").collect()))
+        return score_batch(batch, *rest)
+
+    monkeypatch.setattr(jobs, "score_batch", watched)
+    d = str(folder)
+    got = entry.queries()["stream_alerts"](spark, d).collect()
+    times = {r.transaction_id: r.ts_us for r in registry.dense(spark, d).collect()}
+    known = [t for t in times.values() if t is not None]
+    middle = min(known) + (max(known) - min(known)) // 2
+    assert came == [sorted(n for n, t in times.items() if t is not None and t < middle), sorted(times)]
+    assert len(known) < len(times)
+    want = registry.alerts(spark, d).collect()
+    assert got and sorted(r.alert_id for r in got) == sorted(r.alert_id for r in want)
